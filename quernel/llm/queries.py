@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import mixing, packing, sharding, token_counts, topk
+from quernel.llm import media, mixing, packing, sharding, token_counts, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as a motion-JPEG file and described from what is read back."""
+    return media.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 highest inner products of every twentieth vector."""
     return topk.top_k(table(spark, sf_dir, "embeddings"))
@@ -46,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op4_sharding": op4_sharding,
     "op5_mixing": op5_mixing,
+    "op6_media": op6_media,
     "op9_topk": op9_topk,
 }
 ORACLES: dict[str, str] = {"op5_mixing": mixing.ORACLE, "op9_topk": topk.ORACLE}
