@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import media, mixing, packing, sharding, token_counts, topk
+from quernel.llm import media, minhash, mixing, packing, sharding, substring, token_counts, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,16 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(table(spark, sf_dir, "documents"))
 
 
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages of 50 words or more that each document shares with an earlier one."""
+    return substring.shared_passages(table(spark, sf_dir, "documents"))
+
+
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents at a shingle similarity of 0.75."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 highest inner products of every twentieth vector."""
     return topk.top_k(table(spark, sf_dir, "embeddings"))
@@ -52,6 +62,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op5_mixing": op5_mixing,
     "op6_media": op6_media,
+    "op7_substring": op7_substring,
+    "op8_minhash": op8_minhash,
     "op9_topk": op9_topk,
 }
-ORACLES: dict[str, str] = {"op5_mixing": mixing.ORACLE, "op9_topk": topk.ORACLE}
+ORACLES: dict[str, str] = {"op5_mixing": mixing.ORACLE, "op8_minhash": minhash.ORACLE, "op9_topk": topk.ORACLE}
