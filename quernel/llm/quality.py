@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quernel.llm import words as W
-from quernel.session import ship
+from quernel.session import ship, written
 
 U = np.uint64
-BINS, META = 1 << 16, 128
+BINS, META = 1 << 18, 128
+#: Beside whole words, their beginnings of so many bytes are features: inflected and compound words share them.
+STEMS = (4, 5, 6, 7, 8)
 #: Kinds of bytes whose shares are features.
 KINDS = ("letters", "upper", "digits", "breaks", "marks", "symbols", "high")
 _byte = np.zeros(256, np.int64)
@@ -73,7 +75,23 @@ def text_features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np
         plain = W.words_of(_plain[part], at)
         stats[:, -2] = np.log1p(np.diff(plain.first)) - np.log1p(count)
         stats[:, -1] = count == 0
-        yield stats, plain.first, (plain.hash % U(BINS)).astype(np.int32)
+        yield stats, *_word_bins(_plain[part], at, plain)
+
+
+def _word_bins(buffer: np.ndarray, at: np.ndarray, w: W.Words) -> tuple[np.ndarray, np.ndarray]:
+    """(first, bins): of each text the bins of its words and of their beginnings, word after word."""
+    n, width = len(w.hash), 1 + len(STEMS)
+    bins = np.zeros((n, width), np.int32)
+    bins[:, 0] = w.hash % U(BINS)
+    start = w.start + np.repeat(at[:-1], np.diff(w.first))
+    padded = np.append(buffer, np.zeros(8, np.uint8))
+    head = np.zeros(n, U)
+    for k in range(max(STEMS)):
+        head = head << U(8) | padded[start + k].astype(U)
+        if k + 1 in STEMS:
+            whole = w.end - w.start >= k + 1  # a shorter word has no such beginning; its own bin stands in
+            bins[:, 1 + STEMS.index(k + 1)] = np.where(whole, W.mix(head + U(k)) % U(BINS), bins[:, 0])
+    return w.first * width, bins.ravel()
 
 
 def meta_features(lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> np.ndarray:
@@ -158,42 +176,33 @@ class Model:
         return _sigmoid(text_odds + meta_odds - np.log(self.prior / (1 - self.prior)))
 
 
-def telling_words(sets: list[np.ndarray], y: np.ndarray, most: int) -> np.ndarray:
-    """The bins whose presence depends on the label most surely (log-likelihood ratio), if beyond chance among all bins."""
-    n1, n0 = y.sum(), (1 - y).sum()
-    every = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-    label = np.repeat(y, [len(s) for s in sets])
-    k1, k0 = np.bincount(every, label, BINS), np.bincount(every, 1 - label, BINS)
-    g = np.zeros(BINS)
-    for k, n in ((k1, n1), (n1 - k1, n1), (k0, n0), (n0 - k0, n0)):
-        rate = (k1 + k0) / (n1 + n0) if k is k1 or k is k0 else 1 - (k1 + k0) / (n1 + n0)
+def telling_words(k1: np.ndarray, k0: np.ndarray, n1: int, n0: int, most: int) -> np.ndarray:
+    """The bins whose presence depends on the label most surely (log-likelihood ratio), if beyond chance among all bins.
+
+    k1, k0: in how many of the n1 good and n0 other texts each bin is."""
+    g, rate = np.zeros(len(k1)), (k1 + k0) / (n1 + n0)
+    for k, n, r in ((k1, n1, rate), (n1 - k1, n1, 1 - rate), (k0, n0, rate), (n0 - k0, n0, 1 - rate)):
         with np.errstate(divide="ignore", invalid="ignore"):
-            g += np.where(k > 0, 2 * k * np.log(k / (n * rate)), 0)
+            g += np.where(k > 0, 2 * k * np.log(k / (n * r)), 0)
     seen = max(1, np.count_nonzero(k1 + k0))
     order = np.argsort(-g, kind="stable")[:most]
     return order[g[order] > 2 * np.log(seen / 0.5)]
 
 
-def co_train(rows: pd.DataFrame, *, rounds: int = 3, give: float = 0.05, sure: float = 0.95, words: int = 256, l2: float = 1.0) -> Model:
-    """rows: y (1, 0, or -1 for the pool), stats, bins (distinct), and meta (lists)."""
-    y = rows["y"].to_numpy(int)
+def co_train(rows: pd.DataFrame, chosen: np.ndarray, *, rounds: int = 3, give: float = 0.05, sure: float = 0.95, l2: float = 1.0) -> Model:
+    """rows: y (1, 0, or -1 for the pool), aside (kept for calibration), and the matrices' rows text and meta."""
+    y, aside = rows["y"].to_numpy(int), rows["aside"].to_numpy(bool)
     known = y >= 0
     if not known.any() or len(np.unique(y[known])) < 2:
         return Model(float(y[known].mean()) if known.any() else 1.0)
     model = Model(float(np.clip(y[known].mean(), 0.01, 0.99)))
-    order = np.flatnonzero(known)
-    aside = np.zeros(len(y), bool)
-    aside[order[::4]] = True  # every fourth labelled row, in the order of hashes, is for calibration
-    if len(np.unique(y[aside])) < 2 or len(np.unique(y[known & ~aside])) < 2:
-        aside[:] = False
-    base = known & ~aside
-    check = aside if aside.any() else base
-    sets = [np.asarray(b, np.int64) for b in rows["bins"]]
-    chosen = telling_words([sets[i] for i in np.flatnonzero(base)], y[base].astype(float), words)
     model.column[chosen] = np.arange(len(chosen))
     model.words = len(chosen)
-    first = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-    x = {"text": model.text_matrix(np.stack(rows["stats"].to_list()), first, np.concatenate(sets)), "meta": np.stack(rows["meta"].to_list())}
+    if len(np.unique(y[known & aside])) < 2 or len(np.unique(y[known & ~aside])) < 2:
+        aside = np.zeros(len(y), bool)
+    base = known & ~aside
+    check = known & aside if aside.any() else base
+    x = {"text": np.stack(rows["text"].to_list()), "meta": np.stack(rows["meta"].to_list())}
     labels = {v: np.where(base, y, -1) for v in x}
     pool = y < 0
     for turn in range(rounds + 1):
@@ -221,35 +230,54 @@ def _columns(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"), get("lang", "string"), get("source", "string"), get("n_chars", "double"))
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", *, max_labelled: int = 12_000, max_pool: int = 6_000, **how) -> Model:
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", *, max_labelled: int = 12_000, max_pool: int = 6_000, words: int = 256, **how) -> Model:
     """Fit on bounded samples by hash of the id: labelled rows of docs, and others as the pool. labels has one row an id."""
     spark = docs.sparkSession
     ship(spark)
     good = ((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).cast("int")
     marked = labels.where("quality is not null").groupBy(F.col(key).alias("_id")).agg(F.min(good).alias("y"))
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 30))
+    place = lambda seed: F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1 << 30))
     n, m = marked.count(), docs.count()
-    some = marked.where(place("_id") < int((1 << 30) * min(1.0, 0.9 * max_labelled / max(1, n)))).limit(max_labelled)
-    d = _columns(docs, key, text)
-    labelled = d.join(F.broadcast(some), F.col("doc_id") == F.col("_id")).drop("_id")  # at most max_labelled rows
-    pool = d.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 0.9 * max_pool / max(1, m)))).join(F.broadcast(some.select("_id")), F.col("doc_id") == F.col("_id"), "left_anti").withColumn("y", F.lit(-1))
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    some = marked.where(place(0) < int((1 << 30) * min(1.0, 0.9 * max_labelled / max(1, n)))).limit(max_labelled)
+    some = written(some.withColumn("aside", place(3) % 4 == 0), "labels")
+    d = _columns(docs, key, text).withColumn("_id", F.col("doc_id"))
+    labelled = d.join(F.broadcast(some), "_id")  # at most max_labelled rows
+    pool = d.where(place(7) < int((1 << 30) * min(1.0, 0.9 * max_pool / max(1, m)))).join(F.broadcast(some.select("_id")), "_id", "left_anti").withColumns({"y": F.lit(-1), "aside": F.lit(False)})
+    # the texts of both samples: bounded by max_labelled + max_pool rows
+    sample = written(labelled.drop("_id").union(pool.select(labelled.columns).drop("_id")), "sample")
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            y, at, k = b.column(1).to_numpy(), 0, np.zeros((2, BINS), np.int64)
+            for stats, first, bins in text_features(b.column(0)):
+                for i in range(len(stats)):
+                    k[y[at + i], np.unique(bins[first[i] : first[i + 1]])] += 1
+                at += len(stats)
+            some = np.flatnonzero(k.sum(axis=0))
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(k[1, some]), pa.array(k[0, some])], names=["bin", "k1", "k0"])
+
+    fitted = sample.where("y >= 0 and not aside")
+    # one row a bin: a fixed number
+    found = fitted.select("text", "y").mapInArrow(counts, "bin long, k1 long, k0 long").groupBy("bin").agg(F.sum("k1").alias("k1"), F.sum("k0").alias("k0")).toPandas()
+    k1, k0 = np.zeros(BINS), np.zeros(BINS)
+    k1[found["bin"]], k0[found["bin"]] = found["k1"], found["k0"]
+    n1, n0 = (fitted.where(F.col("y") == v).count() for v in (1, 0))
+    chosen = telling_words(k1, k0, n1, n0, words) if n1 and n0 else np.zeros(0, np.int64)
+    probe = Model(0.5)
+    probe.column[chosen] = np.arange(len(chosen))
+    probe.words = len(chosen)
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = b.select(["doc_id", "lang", "source", "n_chars", "y"]).to_pandas()
+            p = b.select(["lang", "source", "n_chars"]).to_pandas()
             meta = meta_features(p["lang"], p["source"], p["n_chars"])
-            out, stats_all = [], []
-            for stats, first, bins in text_features(b.column(b.schema.get_field_index("text"))):
-                stats_all.append(stats)
-                out += [np.unique(bins[a:z]).tolist() for a, z in zip(first, first[1:], strict=False)]
-            if len(p):
-                yield pa.RecordBatch.from_arrays([pa.array(p["y"], pa.int32()), pa.array(np.concatenate(stats_all).tolist(), pa.list_(pa.float64())), pa.array(out, pa.list_(pa.int32())), pa.array(meta.tolist(), pa.list_(pa.float64())), b.column(0).cast(pa.string())], names=["y", "stats", "bins", "meta", "id"])
-
-    got = labelled.union(pool.select(labelled.columns)).mapInArrow(features, "y int, stats array<double>, bins array<int>, meta array<double>, id string")
-    # in the order of a hash, so that reruns fit the same model; bounded by max_labelled + max_pool
-    rows = got.toPandas()
-    rows = rows.assign(h=pd.util.hash_array(rows["id"].astype(str).to_numpy(object))).sort_values(["h", "id", "y"], kind="stable", ignore_index=True) if len(rows) else rows
-    return co_train(rows, **how)
+            x = [probe.text_matrix(*f) for f in text_features(b.column(b.schema.get_field_index("text")))]
+            lists = lambda m: pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), m.shape[1]).cast(pa.list_(pa.float64()))
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in ("y", "aside")), b.column(0).cast(pa.string()), lists(np.concatenate(x)), lists(meta)], names=["y", "aside", "id", "text", "meta"])
+
+    rows = sample.mapInArrow(features, "y int, aside boolean, id string, text array<double>, meta array<double>").toPandas()
+    return co_train(rows.sort_values(["id", "y"], kind="stable", ignore_index=True), chosen, **how)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", *, keep_from: float = 0.5) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import media, minhash, mixing, packing, sharding, substring, token_counts, topk
+from quernel.llm import media, minhash, mixing, packing, quality, sharding, substring, token_counts, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,11 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score by the co-trained views, and whether it is kept."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_token_counts": op2_token_counts,
@@ -65,5 +70,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_substring": op7_substring,
     "op8_minhash": op8_minhash,
     "op9_topk": op9_topk,
+    "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {"op5_mixing": mixing.ORACLE, "op8_minhash": minhash.ORACLE, "op9_topk": topk.ORACLE}
