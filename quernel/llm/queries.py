@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import media, minhash, mixing, packing, quality, sharding, substring, token_counts, topk
+from quernel.llm import html_extract, media, minhash, mixing, packing, quality, sharding, substring, token_counts, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of near equal bytes, equal texts together."""
     sharded = sharding.shard_documents(table(spark, sf_dir, "documents"))
@@ -64,6 +69,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_token_counts": op2_token_counts,
+    "op3_html": op3_html,
     "op4_sharding": op4_sharding,
     "op5_mixing": op5_mixing,
     "op6_media": op6_media,
