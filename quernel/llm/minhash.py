@@ -4,7 +4,7 @@ Documents with equal sets of word shingles form a class, and only classes are co
 are hashed in bands into buckets, and folded into an odd sketch: a bitmap in which each value toggles one bit, so
 that the bits in which two sketches differ tell how many values differ. In a bucket each class is compared with
 the bucket's smallest class first; what then still lies in different components of one bucket is compared with
-each other, unless the sketches or the sets' sizes rule a link out. Every link is confirmed on full sets.
+each other (in blocks, if the bucket is large), unless the sketches or the sets' sizes rule a link out. Every link is confirmed on full sets.
 
 With 32 bands of 4, a pair at similarity 0.75 shares no bucket in 5 of a million cases, more similar pairs less
 often. The estimate passes pairs some six deviations below the threshold, so it drops next to none; the bound on
@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ from quernel.session import ship, written
 
 U = np.uint64
 BANDS, ROWS, SKETCH_BITS = 32, 4, 1024
+#: Buckets up to this size are compared pair by pair; larger ones in blocks of so many classes.
+SMALL, BLOCK_REST, BLOCK_ALL = 32, 128, 1024
 #: Samples in a sketch: the bands' values and as many again.
 SAMPLES = 256
 
@@ -192,14 +195,56 @@ def _residual(members: DataFrame, found: DataFrame, sketches: DataFrame, texts:
     shared = tokens.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("h")
     c = tokens.join(shared, "h", "left_semi").groupBy("id").agg(F.count("*").alias("c"))
     about = sketches.join(c, "id").withColumnRenamed("id", "_id")
-    rows = written(open_.join(about, F.col("id") == F.col("_id")).select("bucket", "id", "component", "n_shingles", "c", "sketch"), "open")
-    x, y = rows.alias("x"), rows.alias("y")
+    sizes = open_.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.sum("k").alias("m"), F.max("k").alias("most"), F.max_by("component", F.struct("k", "component")).alias("main"))
+    rows = written(open_.join(sizes, "bucket").join(about, F.col("id") == F.col("_id")).drop("_id"), "open")
+    # buckets of a bounded size: pair by pair, confirmed as before
+    x, y = rows.where(F.col("m") <= SMALL).alias("x"), rows.where(F.col("m") <= SMALL).alias("y")
     total = F.col("x.n_shingles") + F.col("y.n_shingles")
     # 100 i >= p (total - i), i at most the smaller c
     fits = (100 + percent) * F.least("x.c", "y.c") >= percent * total
     pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component")) & fits & (differing("x", "y") <= limit))
     pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    return written(_confirm(written(pairs, "residual"), texts, shingle, percent), "links")
+    links = _confirm(written(pairs, "residual"), texts, shingle, percent)
+    return written(links.union(_large_buckets(rows.where(F.col("m") > SMALL), tokens, limit, percent)), "links")
+
+
+def _large_buckets(rows: DataFrame, tokens: DataFrame, limit: int, percent: int) -> DataFrame:
+    """Links of large buckets: what lies outside the bucket's largest component against all of it, block by block.
+
+    Blocks hold a bounded number of classes with their sets. In a block the sketches are compared at once, the sets
+    of what they pass one by one, and a class gives one link to each component that it links with: no pairs leave
+    the block but those."""
+    sets = tokens.join(rows.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.array_sort(F.collect_list("h")).alias("h"))
+    full = written(rows.join(sets, "id"), "large")
+    rest_pieces, all_pieces = F.ceil((F.col("m") - F.col("most")) / BLOCK_REST), F.ceil(F.col("m") / BLOCK_ALL)
+    piece = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n)
+    columns = ["bucket", "id", "component", "sketch", "h"]
+    rest = full.where("component <> main").select(*columns, piece(rest_pieces, 1).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), all_pieces - 1)).alias("j"))
+    every = full.select(*columns, F.explode(F.sequence(F.lit(0).cast("long"), rest_pieces - 1)).alias("i"), piece(all_pieces, 2).alias("j"))
+
+    def block(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(x) and len(y):
+            sx, sy = (np.stack(d["sketch"].to_list()).view(U) for d in (x, y))
+            ids, comps, hs = y["id"].to_numpy(), y["component"].to_numpy(), [np.asarray(h) for h in y["h"]]
+            sizes = np.array([len(h) for h in hs])
+            for i, (a, comp, h) in enumerate(zip(x["id"], x["component"], x["h"], strict=True)):
+                h = np.asarray(h)
+                close = np.bitwise_count(sx[i] ^ sy).sum(axis=1) <= limit
+                near = np.flatnonzero(close & (comps != comp) & (100 * np.minimum(sizes, len(h)) >= percent * np.maximum(sizes, len(h))))
+                linked = set()
+                for k in near[np.argsort(np.bitwise_count(sx[i] ^ sy[near]).sum(axis=1), kind="stable")]:
+                    if comps[k] in linked:
+                        continue
+                    both = len(np.intersect1d(h, hs[k], assume_unique=True))
+                    if 100 * both >= percent * (len(h) + sizes[k] - both):
+                        linked.add(comps[k])
+                        out.append((min(a, ids[k]), max(a, ids[k])))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    keys = ["bucket", "i", "j"]
+    every = every.toDF(*every.columns)  # names of its own: both sides come from one table
+    return rest.groupBy(*keys).cogroup(every.groupBy(*keys)).applyInPandas(block, "a long, b long").distinct()
 
 
 #: The same from all pairs that share a shingle, for DuckDB.
