@@ -5,7 +5,7 @@ Bytes become frames of 24 x 24 samples. A frame is a baseline grayscale JPEG in
 The DC code of category c has 9 - c bits, so every difference takes 9 bits and every block, with its one-bit end,
 takes 10. Reading parses the RIFF index, takes each frame's tables and scan, and undoes the DC prediction.
 Shots: the difference of successive frames' histograms is a cut where it exceeds the mean plus a multiple of
-the deviation of those around it. Each shot is a timed clip row.
+the deviation of those around it, and a multiple of that mean. Each shot is a timed clip row.
 
 Defined cases: null and empty texts become one frame of bytes 255; equal texts give equal files; an empty table
 gives an empty result; other columns are ignored.
@@ -131,8 +131,8 @@ def decode_frames(frames: list[bytes]) -> np.ndarray:
     return (np.cumsum(DIFFERENCE[words], axis=1) + 128).astype(np.uint8)
 
 
-def shots(samples: np.ndarray, window: int = 8, factor: float = 3.0, least: float = 0.1) -> list[tuple[int, int]]:
-    """(first frame, end) of each shot: cuts where 16-bin histograms differ more than those around them do."""
+def shots(samples: np.ndarray, window: int = 8, factor: float = 3.0, times: float = 3.0, least: float = 0.1) -> list[tuple[int, int]]:
+    """(first frame, end) of each shot: cuts where 16-bin histograms differ clearly more than those around them do."""
     n = len(samples)
     if n == 1:
         return [(0, 1)]
@@ -144,7 +144,7 @@ def shots(samples: np.ndarray, window: int = 8, factor: float = 3.0, least: floa
     m = np.maximum(1, hi - lo - 1)
     mean = (s1[hi] - s1[lo] - d) / m
     dev = np.sqrt(np.maximum(0, (s2[hi] - s2[lo] - d * d) / m - mean * mean))
-    cuts = [0, *(np.flatnonzero((d > mean + factor * dev) & (d >= least)) + 1).tolist(), n]
+    cuts = [0, *(np.flatnonzero((d > mean + factor * dev) & (d >= times * mean) & (d >= least)) + 1).tolist(), n]
     return list(zip(cuts, cuts[1:], strict=False))
 
 
