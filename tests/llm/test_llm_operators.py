@@ -172,6 +172,24 @@ def test_minimax_equals_brute_force():
         assert cap == best(0, k) and len(cuts) < k and max(sum(s[a:b]) for a, b in zip(edges, edges[1:], strict=False)) <= cap
 
 
+def test_capacity_is_the_smallest_over_groups(spark):
+    r = random.Random(11)
+    for n, hot in ((400, 0), (400, 3000), (3, 0)):
+        rows = [(r.randrange(1 << 62) if i % 5 else (i // 50) << 40, r.choice([1, 10, 500, r.randint(1, 2000)])) for i in range(n)] + [(1 << 61, hot)] * 2
+        groups = {}
+        for p, s in rows:
+            groups[p] = groups.get(p, 0) + s
+        order = sorted(groups)
+        want, _ = sharding.minimax_cuts(np.array([groups[p] for p in order]), 16)
+        for atoms in (4, 1 << 16):
+            starts = sharding.shard_starts(spark.createDataFrame(rows, "_place long, size long"), 16, atoms)
+            sums = {}
+            for p in order:
+                k = sum(p >= c for c in starts)
+                sums[k] = sums.get(k, 0) + groups[p]
+            assert max(sums.values()) == want and len(starts) <= 15
+
+
 def test_shards(spark):
     assert sharding.shard_documents(empty(spark)).count() == 0
     for df in (documents(spark), real(spark)):
