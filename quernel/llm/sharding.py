@@ -57,9 +57,24 @@ def least_capacity(sizes: np.ndarray, shards: int, open_: np.ndarray | None = No
 
 
 def minimax_cuts(sizes: np.ndarray, shards: int) -> tuple[int, list[int]]:
-    """The smallest capacity, and where runs begin with it."""
+    """The smallest capacity, and where runs begin: as near to equal sizes as runs within that capacity can be."""
     capacity = least_capacity(sizes, shards)
-    return capacity, greedy_cuts(np.cumsum(sizes), capacity, shards) if capacity else []
+    if not capacity:
+        return 0, []
+    n, prefix = len(sizes), np.concatenate([[0], np.cumsum(sizes)])
+    last = [n]  # of each start, how late the later runs' capacity lets it be early: from the end backward
+    for _ in range(shards - 1):
+        last.append(int(np.searchsorted(prefix, prefix[last[-1]] - capacity, side="left")))
+    cuts, at = [], 0
+    for i in range(1, shards):
+        goal = prefix[-1] * i / shards
+        j = int(np.searchsorted(prefix, goal))
+        if j and goal - prefix[j - 1] < prefix[j] - goal:
+            j -= 1
+        furthest = int(np.searchsorted(prefix, prefix[at] + capacity, side="right")) - 1
+        at = min(max(j, last[shards - i], at), furthest)
+        cuts.append(at)
+    return capacity, [c for c in cuts if c < n]
 
 
 def _undecided(sizes: np.ndarray, open_: np.ndarray, shards: int) -> np.ndarray:
