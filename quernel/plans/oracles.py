@@ -141,6 +141,20 @@ en AS (SELECT doc_id, injected, CAST(least(nt, {most}) AS INT) AS n_tokens, p_s,
 
 
 BUDGET = "CASE WHEN name = 'general' THEN 0.05e0 ELSE 0.0125e0 END"
+def _norm(c: str) -> str:
+    return rf"lower(regexp_replace({c}, '[ \t\n\r\f]+', ' ', 'g'))"
+
+
+def _contained(needle: str, hay: str) -> str:
+    words = rf"list_filter(regexp_split_to_array({needle}, '[ \t\n\r\f]+'), lambda w: w <> '')"
+    return f"(len({words}) = 0 OR len(list_filter({words}, lambda w: contains({hay}, w))) > 0.8 * len({words}))"
+
+
+GATE = f"""{_encoded(1024, 48)},
+ga AS (SELECT doc_id, any_value(en.injected) AS injected, any_value(note) AS note, {", ".join(f"min(s) FILTER (WHERE i = {r}_s) AS {r}0, max(e) FILTER (WHERE i = {r}_e - 1) AS {r}1" for r in "pqi")} FROM en JOIN tp USING (doc_id) GROUP BY doc_id),
+gb AS (SELECT ga.*, {_norm("passage")} AS sp, {_norm("query")} AS sq, {_norm("substring(passage, off + 1, core_len)")} AS si, {", ".join(f"{_norm(f'substring(prompt, CAST({r}0 + 1 AS INT), CAST({r}1 - {r}0 AS INT))')} AS d{r}" for r in "pqi")} FROM ga JOIN pt USING (doc_id)),
+gc AS (SELECT note = '' AND coalesce(contains(dp, substring(sp, 1, 60)) OR contains(dp, right(sp, 60)) OR {_contained("sp", "dp")}, false) AND coalesce(contains(dq, substring(sq, 1, 40)) OR {_contained("sq", "dq")}, false) AND coalesce(NOT ga_injected OR {_contained("si", "di")}, false) AS ok FROM (SELECT *, injected AS ga_injected FROM gb))
+SELECT count(*) AS n_samples, count(*) FILTER (WHERE ok) AS n_ok, count(*) FILTER (WHERE ok) = count(*) AND count(*) > 0 AS passed FROM gc"""
 GRIDS = f"grid AS (SELECT sc.name, sc.label, k, round((k / {GRID - 1}.0e0) * round(zr, 6) + (1 - k / {GRID - 1}.0e0) * round(zp, 6), 6) AS score FROM sc, range({GRID}) t(k) WHERE split = 'train')"
 PROBE = """hs AS (SELECT h.*, s.label, s.split FROM h JOIN s USING (sample_id)),
 hx AS (SELECT layer, label, generate_subscripts(vec, 1) AS pos, unnest(vec) AS x FROM hs WHERE split = 'train'),
@@ -197,6 +211,7 @@ ORACLES: dict[str, str] = {
     "prompt_spans": f"{_encoded(120, 48)} SELECT doc_id, n_tokens, p_s, p_e, q_s, q_e, i_s, i_e, note = '' AS valid, note FROM en",
     "tail_pseudo_span": f"{_encoded(1024, 8)} SELECT doc_id, i_s, i_e FROM en WHERE NOT injected",
     "containment_check": rf"WITH {PAIRS}, x AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(query), '[ \t\n\r\f]+'), lambda w: w <> '') AS l, lower(passage) AS p FROM pairs) SELECT doc_id, CASE WHEN len(l) = 0 THEN 1e0 ELSE round(len(list_filter(l, lambda w: contains(p, w))) / len(l), 6) END AS share FROM x",
+    "token_gate": GATE,
     "chat_prompt": "SELECT conv_id, md5(string_agg('<' || role || '> ' || text, chr(10) ORDER BY turn)) AS prompt_md5 FROM conversations GROUP BY conv_id",
     "masses_json_roundtrip": f"WITH {V}, {M} SELECT sample_id, layer, head, CAST(round(m_qp * 1e6) AS BIGINT) AS m_qp, CAST(round(m_qi * 1e6) AS BIGINT) AS m_qi, CAST(round(m_qq * 1e6) AS BIGINT) AS m_qq FROM m",
     "layer_distinct": "SELECT CAST(l AS INT) AS layer FROM range(4) t(l) WHERE (SELECT count(*) FROM embeddings) > 0",
