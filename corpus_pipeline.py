@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences: five stages, each one of the operators in quernel.llm.
 
 A stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a DataFrame that is written
-as Parquet and read again as the next one's docs. All but the last return the columns of documents.
+as Parquet and read again as the next one's docs. All but the last return the columns of documents. Documents are
+known by doc_id: rows without one go in the first stage, rows with equal ones are one document from the second on.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One document of each near-duplicate group stays, once if its row is repeated."""
     kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi")
+    return docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
