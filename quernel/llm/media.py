@@ -3,7 +3,8 @@
 Bytes become frames of 24 x 24 samples. A frame is a baseline grayscale JPEG in which each sample is one flat
 8 x 8 block: only its DC coefficient is coded, at quantizer 8, so that any decoder gives the sample back exactly.
 The DC code of category c has 9 - c bits, so every difference takes 9 bits and every block, with its one-bit end,
-takes 10. Reading parses the RIFF index, takes each frame's tables and scan, and undoes the DC prediction.
+takes 10. Reading parses the RIFF index, takes each frame's scan and undoes the DC prediction; frames with
+other tables, as other writers' files have, go through the general decoder in jpeg.py.
 Shots: the difference of successive frames' histograms is a cut where it exceeds the mean plus a multiple of
 the deviation of those around it, and a multiple of that mean. Each shot is a timed clip row.
 
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quernel.llm import jpeg
 from quernel.session import ship
 
 SIDE, FPS = 24, 25
@@ -115,11 +117,15 @@ def read_avi(data: bytes) -> tuple[int, list[bytes]]:
     return fps, out
 
 
-def scan_of(jpeg: bytes) -> bytes:
-    """The entropy-coded bytes of a frame, after its segments are checked to be those that this codec decodes."""
-    if not jpeg.startswith(HEAD) or not jpeg.endswith(EOI):
+def own(frame: bytes) -> bool:
+    return frame.startswith(HEAD) and frame.endswith(EOI)
+
+
+def scan_of(frame: bytes) -> bytes:
+    """The entropy-coded bytes of a frame with this codec's own tables."""
+    if not own(frame):
         raise ValueError("a frame has other tables than the codec's")
-    return jpeg[len(HEAD) : -2].replace(b"\xff\x00", b"\xff")
+    return frame[len(HEAD) : -2].replace(b"\xff\x00", b"\xff")
 
 
 def decode_frames(frames: list[bytes]) -> np.ndarray:
@@ -131,13 +137,21 @@ def decode_frames(frames: list[bytes]) -> np.ndarray:
     return (np.cumsum(DIFFERENCE[words], axis=1) + 128).astype(np.uint8)
 
 
-def shots(samples: np.ndarray, window: int = 8, factor: float = 3.0, times: float = 3.0, least: float = 0.1) -> list[tuple[int, int]]:
+def luminance(frames: list[bytes]) -> np.ndarray | list[np.ndarray]:
+    """The samples of each frame: this codec's all at once, others one by one by the general decoder."""
+    return decode_frames(frames) if all(map(own, frames)) else [jpeg.decode(f).ravel() for f in frames]
+
+
+def shots(samples: np.ndarray | list[np.ndarray], window: int = 8, factor: float = 3.0, times: float = 3.0, least: float = 0.1) -> list[tuple[int, int]]:
     """(first frame, end) of each shot: cuts where 16-bin histograms differ clearly more than those around them do."""
     n = len(samples)
     if n == 1:
         return [(0, 1)]
-    bins = np.bincount((np.arange(n)[:, None] * 16 + (samples >> 4)).ravel(), minlength=16 * n).reshape(n, 16).astype(float)
-    d = np.abs(np.diff(bins, axis=0)).sum(axis=1) / (2 * samples.shape[1])
+    if isinstance(samples, list):
+        bins = np.stack([np.bincount(f >> 4, minlength=16) / f.size for f in samples])
+    else:
+        bins = np.bincount((np.arange(n)[:, None] * 16 + (samples >> 4)).ravel(), minlength=16 * n).reshape(n, 16) / samples.shape[1]
+    d = np.abs(np.diff(bins, axis=0)).sum(axis=1) / 2
     s1, s2 = np.concatenate([[0], np.cumsum(d)]), np.concatenate([[0], np.cumsum(d * d)])
     i = np.arange(len(d))
     lo, hi = np.maximum(0, i - window), np.minimum(len(d), i + window + 1)
@@ -170,8 +184,9 @@ def clip_rows(media: DataFrame, key: str = "doc_id", column: str = "media") -> D
             out = []
             for k, m in zip(b["doc_id"], b["media"], strict=True):
                 fps, frames = read_avi(bytes(m))
-                samples = decode_frames(frames)
-                out += [(k, i, lo / fps, hi / fps, hi - lo, *stats(samples[lo:hi])) for i, (lo, hi) in enumerate(shots(samples))]
+                if frames:
+                    samples = luminance(frames)
+                    out += [(k, i, lo / fps, hi / fps, hi - lo, *stats(np.concatenate(samples[lo:hi]))) for i, (lo, hi) in enumerate(shots(samples))]
             yield pd.DataFrame(out, columns=schema.names)
 
     return src.mapInPandas(run, schema)
