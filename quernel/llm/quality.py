@@ -112,15 +112,22 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 12) -> np.ndarray:
-    """Newton's method on ridge logistic regression; the intercept, last, is free."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], l2)
+def fit_logistic(x: np.ndarray, y: np.ndarray, mean: np.ndarray | float = 0.0, scale: np.ndarray | float = 1.0, l2: float = 1.0, steps: int = 12) -> np.ndarray:
+    """Newton's method on ridge logistic regression of standardized rows; the intercept, last, is free.
+
+    Rows are standardized a block at a time, so the matrix is never copied."""
+    d = x.shape[1] + 1
+    w, ridge = np.zeros(d), np.full(d, l2)
     ridge[-1] = 1e-6
     for _ in range(steps):
-        p = _sigmoid(x @ w)
-        h = x.T @ (x * np.maximum(p * (1 - p), 1e-6)[:, None]) + np.diag(ridge)
-        step = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
+        h, g = np.diag(ridge), -ridge * w
+        for s in range(0, len(x), 1024):
+            z = np.ones((len(x[s : s + 1024]), d))
+            z[:, :-1] = (x[s : s + 1024] - mean) / scale
+            p = _sigmoid(z @ w)
+            h += z.T @ (z * np.maximum(p * (1 - p), 1e-6)[:, None])
+            g += z.T @ (y[s : s + 1024] - p)
+        step = np.linalg.solve(h, g)
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
@@ -137,14 +144,15 @@ class View:
     platt: tuple[float, float] = (1.0, 0.0)
 
     def odds(self, x: np.ndarray) -> np.ndarray:
-        z = ((x - self.mean) / self.scale) @ self.weights[:-1] + self.weights[-1]
+        w = self.weights[:-1] / self.scale
+        z = x @ w + (self.weights[-1] - self.mean @ w)
         return np.clip(self.platt[0] * z + self.platt[1], -15, 15)
 
 
 def fit_view(x: np.ndarray, y: np.ndarray, l2: float) -> View:
-    mean, scale = x.mean(axis=0), x.std(axis=0)
-    scale[scale < 1e-9] = 1
-    return View(mean, scale, fit_logistic((x - mean) / scale, y, l2))
+    mean, scale = x.mean(axis=0, dtype=np.float64), x.std(axis=0, dtype=np.float64)
+    scale[scale < 1e-6] = 1
+    return View(mean, scale, fit_logistic(x, y, mean, scale, l2))
 
 
 def calibrate(view: View, x: np.ndarray, y: np.ndarray) -> None:
@@ -202,7 +210,7 @@ def co_train(rows: pd.DataFrame, chosen: np.ndarray, *, rounds: int = 3, give: f
         aside = np.zeros(len(y), bool)
     base = known & ~aside
     check = known & aside if aside.any() else base
-    x = {"text": np.stack(rows["text"].to_list()), "meta": np.stack(rows["meta"].to_list())}
+    x = {v: np.stack(rows.pop(v).to_list()).astype(np.float32, copy=False) for v in ("text", "meta")}
     labels = {v: np.where(base, y, -1) for v in x}
     pool = y < 0
     for turn in range(rounds + 1):
@@ -272,11 +280,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             p = b.select(["lang", "source", "n_chars"]).to_pandas()
             meta = meta_features(p["lang"], p["source"], p["n_chars"])
             x = [probe.text_matrix(*f) for f in text_features(b.column(b.schema.get_field_index("text")))]
-            lists = lambda m: pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), m.shape[1]).cast(pa.list_(pa.float64()))
+            lists = lambda m: pa.FixedSizeListArray.from_arrays(pa.array(m.astype(np.float32).ravel()), m.shape[1]).cast(pa.list_(pa.float32()))
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in ("y", "aside")), b.column(0).cast(pa.string()), lists(np.concatenate(x)), lists(meta)], names=["y", "aside", "id", "text", "meta"])
 
-    rows = sample.mapInArrow(features, "y int, aside boolean, id string, text array<double>, meta array<double>").toPandas()
+    rows = sample.mapInArrow(features, "y int, aside boolean, id string, text array<float>, meta array<float>").toPandas()
     return co_train(rows.sort_values(["id", "y"], kind="stable", ignore_index=True), chosen, **how)
 
 
