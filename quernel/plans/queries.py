@@ -468,11 +468,11 @@ def _against_clean(scores: DataFrame) -> DataFrame:
 def tableB(spark, d):
     """AUROC by kind of the shared attention half, the shared fused score, the shared hidden half, and each kind's own detector."""
     s = _against_clean(_scores(spark, d, "split = 'test'"))
-    general, own = s.where("name = 'general'"), s.where("name = type")
-    rows = None
-    for config, part, col in (("attention shared", general, "zr"), ("fused shared", general, "s"), ("hidden shared", general, "zp"), ("specialist alone", own, "s")):
-        one = part.select(F.lit(config).alias("config"), "type", "label", F.round(col, 6).alias("score"))
-        rows = one if rows is None else rows.unionByName(one)
+    general, own = F.col("name") == "general", F.col("name") == F.col("type")
+    parts = (("attention shared", general, "zr"), ("fused shared", general, "s"), ("hidden shared", general, "zp"), ("specialist alone", own, "s"))
+    # each score goes to the configurations that it belongs to: one scan, no union
+    each = F.filter(F.array(*(F.struct(F.lit(n).alias("config"), when.alias("when"), F.round(c, 6).alias("score")) for n, when, c in parts)), lambda x: x["when"])
+    rows = s.select("type", "label", F.explode(each).alias("x")).select("x.config", "type", "label", "x.score")
     return _rounded(metrics.auroc(rows, ["config", "type"]), "auroc")
 
 
