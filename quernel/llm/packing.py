@@ -28,31 +28,36 @@ RANK_ROWS = 20_000
 _encoders: dict[str, object] = {}
 
 
-def _encode(path: str, text: str) -> list[int]:
-    """Ids as the tokenizers library gives them. tiktoken runs the same ranks about six times as fast; what it
-    refuses (its regex engine can overflow on extreme white space) goes to tokenizers itself."""
+def _fast(path: str):
     if path not in _encoders:
         import base64
         import json
 
         import tiktoken
-        from tokenizers import Tokenizer
 
         import public_tokenizers
 
-        slow = Tokenizer.from_file(path)
-        special = {t["content"]: t["id"] for t in json.loads(slow.to_str())["added_tokens"]}
+        with open(path, encoding="utf-8") as f:
+            special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
         with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        _encoders[path] = (fast, slow)
-    fast, slow = _encoders[path]
+        _encoders[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return _encoders[path]
+
+
+def _encode(path: str, text: str) -> list[int]:
+    """Ids as the tokenizers library gives them. tiktoken runs the same ranks about six times as fast; what it
+    refuses (its regex engine can overflow on extreme white space) goes to tokenizers itself."""
     try:
-        return fast.encode(text, allowed_special="all")
+        return _fast(path).encode(text, allowed_special="all")
     except BaseException as e:  # a Rust panic is no Exception
         if isinstance(e, (KeyboardInterrupt, SystemExit, GeneratorExit)):
             raise
-        return slow.encode(text, add_special_tokens=False).ids
+        from tokenizers import Tokenizer
+
+        if f"slow {path}" not in _encoders:
+            _encoders[f"slow {path}"] = Tokenizer.from_file(path)
+        return _encoders[f"slow {path}"].encode(text, add_special_tokens=False).ids
 
 
 def tokenize_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", *, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 1) -> DataFrame:

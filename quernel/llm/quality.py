@@ -35,7 +35,7 @@ BINS, META = 1 << 18, 128
 STEMS = (4, 5, 6, 7, 8)
 #: Kinds of bytes whose shares are features.
 KINDS = ("letters", "upper", "digits", "breaks", "marks", "symbols", "high")
-_byte = np.zeros(256, np.int64)
+_byte = np.zeros(256, np.uint8)
 _byte[128:] = 6
 _byte[33:127] = 5
 for _c in b".,;:'\"-?!()":
@@ -64,7 +64,8 @@ def text_features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np
         kinds = _byte[part]
         stats = np.zeros((n, len(KINDS) + 5))
         for k in range(len(KINDS)):
-            sums = np.concatenate([[0], np.cumsum(kinds == k)])
+            sums = np.zeros(len(part) + 1, np.int64)
+            np.cumsum(kinds == k, out=sums[1:])
             stats[:, k] = (sums[at[1:]] - sums[at[:-1]]) / size
         w = W.words_of(buffer, offsets)
         count = np.diff(w.first)
@@ -297,26 +298,49 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     sent = spark.sparkContext.broadcast(model)  # a fixed number of weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
         for b in batches:
-            p = b.select(["lang", "source", "n_chars"]).to_pandas()
             at = 0
-            for stats, first, bins in text_features(b.column(1)):
-                n = len(stats)
-                rows = p.iloc[at : at + n]
-                if m.text is None:
-                    text_p = meta_p = total = np.full(n, m.prior)
-                else:
-                    meta_odds = m.meta.odds(meta_features(rows["lang"], rows["source"], rows["n_chars"]))
-                    text_odds = np.concatenate([m.text.odds(m.text_matrix(stats[s : s + 512], first[s : s + 513] - first[s], bins[first[s] : first[min(n, s + 512)]])) for s in range(0, n, 512)])
-                    text_p, meta_p, total = _sigmoid(text_odds), _sigmoid(meta_odds), m.score(text_odds, meta_odds)
-                total = np.where(stats[:, -1] > 0, 0.0, total)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), *(pa.array(x) for x in (text_p, meta_p, total, total >= keep_from))], names=schema.names)
-                at += n
+            for scores in _scored(sent.value, b.column(1), b.select(["lang", "source", "n_chars"])):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(scores[0])), *map(pa.array, scores), pa.array(scores[2] >= keep_from)], names=schema.names)
+                at += len(scores[0])
 
     return src.mapInArrow(run, schema)
 
 
+def _scored(m: Model, text: pa.Array, about: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(p_text, p_meta, score) of a batch's rows, slice by slice."""
+    p, at = about.to_pandas(), 0
+    for stats, first, bins in text_features(text):
+        n = len(stats)
+        rows = p.iloc[at : at + n]
+        at += n
+        if m.text is None:
+            text_p = meta_p = total = np.full(n, m.prior)
+        else:
+            meta_odds = m.meta.odds(meta_features(rows["lang"], rows["source"], rows["n_chars"]))
+            text_odds = np.concatenate([m.text.odds(m.text_matrix(stats[s : s + 512], first[s : s + 513] - first[s], bins[first[s] : first[min(n, s + 512)]])) for s in range(0, n, 512)])
+            text_p, meta_p, total = _sigmoid(text_odds), _sigmoid(meta_odds), m.score(text_odds, meta_odds)
+        yield text_p, meta_p, np.where(stats[:, -1] > 0, 0.0, total)
+
+
+def keep_good(docs: DataFrame, model: Model, text: str = "text", *, keep_from: float = 0.5) -> DataFrame:
+    """The rows of docs that the model keeps, as they are: scored where they lie, without a shuffle."""
+    spark = docs.sparkSession
+    ship(spark)
+    sent, names = spark.sparkContext.broadcast(model), docs.columns
+    about = [names.index(c) if c in names else None for c in ("lang", "source", "n_chars")]
+    at = names.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = [b.column(i) if i is not None else pa.nulls(b.num_rows) for i in about]
+            scores = [s[2] for s in _scored(sent.value, b.column(at), pa.RecordBatch.from_arrays(columns, names=["lang", "source", "n_chars"]))]
+            if scores:
+                yield b.filter(pa.array(np.concatenate(scores) >= keep_from))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """Train on labels and score all docs."""
     return score(docs, train(docs, labels, key, text, **how), key, text)

@@ -15,7 +15,7 @@ import pyarrow as pa
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15) | U(1)
 #: Bytes hashed at once, about; and bytes of texts handed out at once.
-BLOCK, SLICE = 1 << 20, 4 << 20
+BLOCK, SLICE = 1 << 18, 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
