@@ -2,7 +2,7 @@
 
 A stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a DataFrame that is written
 as Parquet and read again as the next one's docs. All but the last return the columns of documents. Documents are
-known by doc_id: rows without one go in the first stage, rows with equal ones are one document from the second on.
+known by doc_id: rows without one go in the second stage, rows with equal ones are one document from the second on.
 """
 
 from __future__ import annotations
@@ -17,9 +17,7 @@ from quernel.session import written
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = quality.train(docs, labels)
-    kept = quality.score(docs, model).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi")
+    return quality.keep_good(docs, quality.train(docs, labels))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
