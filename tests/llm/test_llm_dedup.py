@@ -159,3 +159,17 @@ def test_words(monkeypatch, block):
             for (s, e), h in zip(want, w.hash[lo:hi], strict=True):
                 assert seen.setdefault(raw[s:e], h) == h
     assert len(set(seen.values())) == len(seen)
+
+
+def spans_of(got):
+    return sorted((x["doc_id"], x["other_doc_id"], x["n_words"]) for x in got)
+
+
+def test_all_passages_of_a_pair_are_found(spark):
+    r = random.Random(11)
+    one, two, three = passage(r, 60), passage(r, 70), passage(r, 80)
+    apart = lambda *n: sum(([*passage(r, k), *p] for k, p in zip(n, (one, two, three), strict=True)), [])
+    docs = {1: apart(40, 100, 150), 2: apart(90, 110, 0), 3: [*three, *passage(r, 30), *one, *passage(r, 400), *two]}
+    df = spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], "doc_id long, text string")
+    got = spans_of(substring.shared_passages(df).collect())
+    assert got == sorted([*((2, 1, n) for n in (60, 70, 80)), *((3, 1, n) for n in (60, 70, 80))])
