@@ -173,3 +173,37 @@ def test_all_passages_of_a_pair_are_found(spark):
     df = spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], "doc_id long, text string")
     got = spans_of(substring.shared_passages(df).collect())
     assert got == sorted([*((2, 1, n) for n in (60, 70, 80)), *((3, 1, n) for n in (60, 70, 80))])
+
+
+def test_fuzzy_passages_are_proposed_and_accepted(spark):
+    r = random.Random(13)
+    cases = [(n, part) for n in (60, 80, 100) for part in (0.1, 0.15, 0.2, 0.23) for _ in range(12)]
+    rows, want = [], {}
+    for c, (n, part) in enumerate(cases):
+        here = passage(r, n)
+        worn = list(here)
+        for i in r.sample(range(1, n - 1), int(n * part)):
+            worn[i] = f"x{c}.{i}"
+        # of words compared place by place, n - int(n * part) agree: 77% or more
+        for k, words_ in ((c, here), (1000 + c, worn)):
+            rows.append((k, " ".join([*passage(r, 80), *words_, *passage(r, 90)])))
+        want[1000 + c] = part
+    got = {x["doc_id"] for x in substring.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect() if x["other_doc_id"] == x["doc_id"] - 1000}
+    found = {p: sum(k in got for k, q in want.items() if q == p) / 36 for p in set(want.values())}
+    assert got <= set(want) and all(found[p] >= least for p, least in ((0.1, 1.0), (0.15, 1.0), (0.2, 0.95), (0.23, 0.9))), found
+
+
+def test_what_may_share_refutes_has_no_passage():
+    r = random.Random(17)
+    table = np.zeros(1 << 16, bool)
+    kept = 0
+    for _ in range(300):
+        n, part = r.randint(40, 90), r.uniform(0.05, 0.5)
+        x = np.array([r.getrandbits(62) for _ in range(n)], np.uint64)
+        y = x.copy()
+        for i in r.sample(range(n), int(n * part)):
+            y[i] = r.getrandbits(62)
+        if substring.compare(x, y, 50, 0.75):
+            kept += 1
+            assert substring.may_share(x, y, table, 50, 0.75)
+    assert kept > 30 and not table.any()
