@@ -207,3 +207,20 @@ def test_what_may_share_refutes_has_no_passage():
             kept += 1
             assert substring.may_share(x, y, table, 50, 0.75)
     assert kept > 30 and not table.any()
+
+
+def test_repeats_within_a_passage_and_lines_of_other_documents(spark):
+    r = random.Random(19)
+    docs = {}
+    for c, (n, period) in enumerate([(60, 10), (100, 10), (60, 15), (200, 1)] * 5):
+        slogan = (passage(r, period) * n)[:n]
+        for k in (c, 100 + c):
+            docs[k] = [*passage(r, 70), *slogan, *passage(r, 60)]
+    for c in range(20):  # two lines of 30 words, each also alone in earlier documents
+        lines = [passage(r, 30) for _ in range(2)]
+        for k, some in ((200, lines[:1]), (300, lines[1:]), (400, lines), (500, lines)):
+            docs[k + c] = [*passage(r, 60), *sum(some, []), *passage(r, 60)]
+    df = spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], "doc_id long, text string")
+    got = {(x["doc_id"], x["other_doc_id"]): x for x in substring.shared_passages(df).collect()}
+    assert set(got) == {(100 + c, c) for c in range(20)} | {(500 + c, 400 + c) for c in range(20)}
+    assert all(x["n_words"] == (60 if d >= 500 else (60, 100, 60, 200)[(d - 100) % 4]) for (d, _), x in got.items())
