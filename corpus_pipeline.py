@@ -1,8 +1,9 @@
 """From raw documents to packed training sequences: five stages, each one of the operators in quernel.llm.
 
 A stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a DataFrame that is written
-as Parquet and read again as the next one's docs. All but the last return the columns of documents. Documents are
-known by doc_id: rows without one go in the second stage, rows with equal ones are one document from the second on.
+as Parquet and read again as the next one's docs. All but the last return the columns of documents. Rows with equal
+doc_id and text are one document from the second stage on; other texts under the same id, and those without one, are
+documents of their own, after all with ids of their own.
 """
 
 from __future__ import annotations
@@ -20,22 +21,35 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, quality.train(docs, labels))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Add _key, equal where doc_id and text are: doc_id for the text of least hash under it, for others a hash of 62 bits."""
+    h = F.xxhash64("doc_id", "text")
+    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(h).alias("_first"), F.max(h).alias("_last")).where("_first <> _last")
+    several = written(several.select(F.col("doc_id").alias("_id"), "_first"), "several")
+    own = F.lit(1 << 62) + F.shiftrightunsigned(h, 2)
+    key = F.when(F.col("doc_id").isNotNull() & (F.col("_first").isNull() | (h == F.col("_first"))), F.col("doc_id").cast("long")).otherwise(own)
+    return docs.join(several, F.col("doc_id") == F.col("_id"), "left").select(*docs.columns, key.alias("_key"))
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, once if its row is repeated."""
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    rows = keyed(docs)
+    kept = minhash.near_duplicates(rows, key="_key").where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    return rows.join(kept, F.col("_key") == F.col("_id"), "left_semi").dropDuplicates(["_key"]).drop("_key")
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that a document shares with an earlier one are cut out; n_chars follows."""
-    cut = substring.cut_passages(docs, substring.shared_passages(docs))
+    rows = keyed(docs)
+    cut = substring.cut_passages(rows, substring.shared_passages(rows, key="_key"), key="_key").drop("_key")
     return cut.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; repeats are rows of their own."""
-    times = mixing.mix_documents(docs).where("times > 0").select(F.col("doc_id").alias("_id"), F.col("times").cast("int").alias("_times")).distinct()
-    return docs.join(times, F.col("doc_id") == F.col("_id")).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    rows = keyed(docs)
+    times = mixing.mix_documents(rows, key="_key").where("times > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("times").cast("int").alias("_times"))
+    return rows.join(times, F.col("_key") == F.col("_id")).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

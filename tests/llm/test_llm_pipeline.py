@@ -1,4 +1,7 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from quernel.llm import queries
 
@@ -30,3 +33,19 @@ def test_run_again_gives_the_same(spark):
 
 def test_ten_operators_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def test_every_distinct_text_stays(spark):
+    r = random.Random(5)
+    made = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    a, b, c, d, e = (made(90) for _ in range(5))
+    near, shares = a + " more", made(30) + " " + " ".join(a.split()[10:80]) + " " + made(30)
+    # id 2: a near copy of an earlier document and a text of its own; id 5: one text shares a passage, the other doesn't
+    rows = [(1, a), (2, near), (2, b), (None, c), (None, d), (None, c), (None, near), (3, e), (3, e), (5, shares), (5, b + " " + e)]
+    df = spark.createDataFrame([(k, t, "en", "web", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = pipeline.near_duplicate_stage(spark, df, SF).persist()
+    assert sorted((x["text"], x["doc_id"] or 0) for x in kept.collect()) == sorted([(a, 1), (b, 2), (c, 0), (d, 0), (e, 3), (shares, 5), (b + " " + e, 5)])
+    one = df.where(F.col("text").isin(a, c, d, shares) | ((F.col("doc_id") == 5) & (F.col("text") != shares))).distinct()
+    cut = {x["text"] for x in pipeline.substring_stage(spark, one, SF).collect()}
+    assert {a, c, d, b + " " + e} <= cut and shares not in cut and len(cut) == 5
+    assert {x["text"] for x in pipeline.mixing_stage(spark, one, SF).collect()} == {a, c, d, shares, b + " " + e}
