@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quernel.config import Config
 from quernel.functions import signals as S
 from quernel.functions import text
 from quernel.operators import calibrate, corpus, decide, metrics, spans
@@ -211,11 +212,11 @@ def seed_hash(spark, d):
 # --- spans ------------------------------------------------------------------------------------------------------
 
 
-def _prompts(spark: SparkSession, d: str) -> DataFrame:
+def _prompts(spark: SparkSession, d: str, most: int = 300) -> DataFrame:
     """Each document's start as the passage, clean and inserted in turn, with a question."""
     kind = F.element_at(F.array(*map(F.lit, corpus.ATTACK_TYPES)), (F.floor(F.col("doc_id") / 2) % 4 + 1).cast("int"))
     goal = F.element_at(F.array(*map(F.lit, corpus.GOALS.values())), (F.floor(F.col("doc_id") / 8) % 5 + 1).cast("int"))
-    base = B.pairs(spark, d).select("doc_id", text.truncate_words(F.col("passage"), 300).alias("passage"), text.truncate_words(F.col("query"), 160).alias("query"), kind.alias("attack_type"), goal.alias("goal_text"))
+    base = B.pairs(spark, d).select("doc_id", text.truncate_words(F.col("passage"), most).alias("passage"), text.truncate_words(F.col("query"), 160).alias("query"), kind.alias("attack_type"), goal.alias("goal_text"))
     made = corpus.inject(base)
     odd = F.col("doc_id") % 2 == 1
     back = made.withColumn("passage", F.when(odd, F.col("passage")).otherwise(F.expr("substring(passage, 1, injection_offset.start - CASE WHEN attack_type IN ('naive', 'fake') THEN 2 ELSE 1 END)")))
@@ -252,6 +253,29 @@ def token_gate(spark, d):
     return spans.gate_summary(spans.gate(spans.encode(_prompts(spark, d))))
 
 
+def _encoded_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The prompts with as much of each passage as corpora keep, at the full length and tail."""
+    c = Config()
+    return spans.encode(_prompts(spark, d, c.clean_passage_max_chars), c.max_seq_len, c.tail_len)
+
+
+@query
+def prompt_spans_whole(spark, d):
+    e = _encoded_whole(spark, d)
+    return e.select("doc_id", "n_tokens", *(F.col(f"{r}_tok.{x}").cast("long").alias(f"{r}_{x}") for r in "pqi" for x in "se"), "valid", "note")
+
+
+@query
+def tail_pseudo_span_whole(spark, d):
+    e = _encoded_whole(spark, d).where(F.coalesce(F.length("injection"), F.lit(0)) == 0)
+    return e.select("doc_id", F.col("i_tok.s").cast("long").alias("i_s"), F.col("i_tok.e").cast("long").alias("i_e"))
+
+
+@query
+def token_gate_whole(spark, d):
+    return spans.gate_summary(spans.gate(_encoded_whole(spark, d)))
+
+
 @query
 def chat_prompt(spark, d):
     """Each conversation as one prompt of role-tagged turns."""
