@@ -20,8 +20,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,8 +32,8 @@ from quernel.session import ship, written
 
 U = np.uint64
 BANDS, ROWS, SKETCH_BITS = 32, 4, 1024
-#: Buckets up to this size are compared pair by pair; larger ones in blocks of so many classes.
-SMALL, BLOCK_REST, BLOCK_ALL = 32, 128, 1024
+#: Buckets up to this size are compared pair by pair; larger ones in blocks of so many bytes of sets.
+SMALL, BYTES_REST, BYTES_ALL = 32, 1 << 20, 4 << 20
 #: Samples in a sketch: the bands' values and as many again.
 SAMPLES = 256
 
@@ -113,24 +113,55 @@ def most_differing(threshold: float, deviations: float = 6.0) -> int:
     return int(SKETCH_BITS * (1 - np.exp(-2 * toggles / SKETCH_BITS)) / 2 + deviations * (SKETCH_BITS / 4 * np.exp(-2 * toggles / SKETCH_BITS)) ** 0.5)
 
 
+def pressed(texts: DataFrame) -> DataFrame:
+    """id, f1 (a hash of the text), raw (compressed) and size of each id and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
+        for b in batches:
+            raw = [x.as_buffer() for x in b.column(2).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([codec.compress(x, asbytes=True) for x in raw], pa.binary()), pa.array([x.size for x in raw], pa.int64())], names=["id", "f1", "raw", "size"])
+
+    return texts.select("id", F.xxhash64("text").alias("f1"), "text").where("text is not null").mapInArrow(run, "id long, f1 long, raw binary, size long")
+
+
+def unpressed(raw: pa.Array, sizes: np.ndarray) -> pa.Array:
+    codec = pa.Codec("zstd")
+    data = b"".join(codec.decompress(x.as_buffer(), int(n), asbytes=True) for x, n in zip(raw, sizes, strict=True))
+    return pa.LargeStringArray.from_buffers(len(raw), pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)), pa.py_buffer(data))
+
+
+def by_bytes(sizes: np.ndarray, most: int = W.SLICE) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of `most` bytes together, or of one row."""
+    total, s = np.cumsum(sizes), 0
+    while s < len(total):
+        to = max(s + 1, int(np.searchsorted(total, (total[s - 1] if s else 0) + most, side="right")))
+        yield s, to
+        s = to
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar. texts: id, f1, text."""
-    joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("f1").alias("fa"), F.col("text").alias("ta")), "a")
-    joined = joined.join(texts.select(F.col("id").alias("b"), F.col("f1").alias("fb"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    """The pairs (a, b) whose full sets are similar. texts: see pressed()."""
+    joined = pairs
+    for side in ("a", "b"):
+        joined = joined.join(texts.select(F.col("id").alias(side), F.col("raw").alias(f"raw_{side}"), F.col("size").alias(f"size_{side}")), side)
+    joined = joined.select("a", "b", "raw_a", "raw_b", "size_a", "size_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in range(0, batch.num_rows, 500):
-                some = batch.slice(s, 500)
-                # equal texts of a batch (a bucket's first class above all) are hashed once
-                texts = pa.chunked_array([some.column(2), some.column(3)]).combine_chunks().dictionary_encode()
-                sets = [h[x:y] for first, h in text_sets(texts.dictionary, shingle) for x, y in zip(first, first[1:], strict=False)]
-                code = texts.indices.to_numpy()
+            for s, to in by_bytes(batch.column(4).to_numpy() + batch.column(5).to_numpy()):
+                some = batch.slice(s, to - s)
+                # equal texts of a slice (a bucket's first class above all) are hashed once
+                both = pa.concat_arrays([some.column(2), some.column(3)]).dictionary_encode()
+                code = both.indices.to_numpy()
+                size = np.zeros(len(both.dictionary), np.int64)
+                size[code] = np.concatenate([some.column(4).to_numpy(), some.column(5).to_numpy()])
+                sets = [h[x:y] for first, h in text_sets(unpressed(both.dictionary, size), shingle) for x, y in zip(first, first[1:], strict=False)]
                 keep = []
                 for i in range(some.num_rows):
                     a, b = sets[code[i]], sets[code[some.num_rows + i]]
-                    both = len(np.intersect1d(a, b, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(a) + len(b) - both))
+                    same = len(np.intersect1d(a, b, assume_unique=True))
+                    keep.append(100 * same >= percent * (len(a) + len(b) - same))
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return joined.mapInArrow(run, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
@@ -153,7 +184,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     classes = signed.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = written(classes, "classes")
     bands = classes.where("id is not null").select("id", F.explode("bands").alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("other")).where("hub <> other").drop("other")
+    # sides with a row a key are written before they are joined, so that the other side's hot keys can be split
+    shared = written(bands.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("other")).where("hub <> other").drop("other"), "shared")
     members = written(bands.join(shared, "bucket"), "buckets")
     sketches = classes.select("id", "n_shingles", "sketch")
     stars = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
@@ -161,42 +193,47 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     stars = stars.join(sketches.alias("x"), F.col("a") == F.col("x.id")).join(sketches.alias("y"), F.col("b") == F.col("y.id")).where(differing("x", "y") <= limit).select("a", "b")
     stars = written(stars, "stars")
     held = members.select("id").distinct()
-    texts = written(src.withColumnRenamed("doc_id", "id").join(held, "id", "left_semi").withColumn("f1", F.xxhash64("text")).dropDuplicates(["id", "f1"]), "texts")
+    texts = written(pressed(src.withColumnRenamed("doc_id", "id")).join(held, "id", "left_semi").dropDuplicates(["id", "f1"]), "texts")
     links = written(_confirm(stars, texts, shingle, percent), "links")
     found = components(links)
     more = _residual(members, found, sketches, texts, stars, limit, shingle, percent)
     if more is not None:
         found = components(links.union(more))
     named = classes.select("f1", "f2", "n_shingles", "id").join(found, F.col("id") == F.col("node"), "left").select("f1", "f2", "n_shingles", F.coalesce("component", "id").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2", "n_shingles"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rows = signed.select("doc_id", "n_shingles", "f1", "f2")
+    out = rows.where("n_shingles > 0").join(written(named, "named"), ["f1", "f2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = out.union(rows.where("n_shingles = 0").select("doc_id", "n_shingles", "doc_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _residual(members: DataFrame, found: DataFrame, sketches: DataFrame, texts: DataFrame, tested: DataFrame, limit: int, shingle: int, percent: int) -> DataFrame | None:
     """Links between classes of one bucket that the comparisons with its smallest class left in different components."""
     labelled = members.join(found, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     parted = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo <> hi and m > 2").select("bucket")
-    open_ = written(labelled.join(parted, "bucket", "left_semi"), "open")
+    open_ = written(labelled.join(written(parted, "parted"), "bucket", "left_semi"), "open")
     if not open_.limit(1).count():
         return None
     ids = open_.select("id").distinct()
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = 0
-            for first, h in text_sets(b.column(1), shingle):
-                n = np.diff(first)
-                rows = np.repeat(np.arange(at, at + len(n)), n)
-                at += len(n)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(h.view(np.int64))], names=["id", "h"])
-
-    tokens = written(texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(explode, "id long, h long").distinct(), "tokens")
+            sizes = b.column(2).to_numpy()
+            for s, to in by_bytes(sizes):
+                at = s
+                for first, h in text_sets(unpressed(b.column(1).slice(s, to - s), sizes[s:to]), shingle):
+                    n = np.diff(first)
+                    rows = np.repeat(np.arange(at, at + len(n)), n)
+                    at += len(n)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(h.view(np.int64))], names=["id", "h"])
+
+    tokens = written(texts.join(ids, "id", "left_semi").select("id", "raw", "size").mapInArrow(explode, "id long, h long").distinct(), "tokens")
     # only shingles that another open class has can be common: with c of them, a set of n links with no set larger than bounds allow
-    shared = tokens.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("h")
-    c = tokens.join(shared, "h", "left_semi").groupBy("id").agg(F.count("*").alias("c"))
+    shared = written(tokens.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("h"), "shared")
+    sets = written(tokens.join(shared, "h", "left_semi").groupBy("id").agg(F.collect_list("h").alias("h"), F.count("*").alias("c")), "sets")
+    c = sets.select("id", "c")
     about = sketches.join(c, "id").withColumnRenamed("id", "_id")
     sizes = open_.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.sum("k").alias("m"), F.max("k").alias("most"), F.max_by("component", F.struct("k", "component")).alias("main"))
-    rows = written(open_.join(sizes, "bucket").join(about, F.col("id") == F.col("_id")).drop("_id"), "open")
+    rows = written(open_.join(written(sizes, "sizes"), "bucket").join(about, F.col("id") == F.col("_id")).drop("_id"), "open")
     # buckets of a bounded size: pair by pair, confirmed as before
     x, y = rows.where(F.col("m") <= SMALL).alias("x"), rows.where(F.col("m") <= SMALL).alias("y")
     total = F.col("x.n_shingles") + F.col("y.n_shingles")
@@ -205,46 +242,54 @@ def _residual(members: DataFrame, found: DataFrame, sketches: DataFrame, texts:
     pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component")) & fits & (differing("x", "y") <= limit))
     pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
     links = _confirm(written(pairs, "residual"), texts, shingle, percent)
-    return written(links.union(_large_buckets(rows.where(F.col("m") > SMALL), tokens, limit, percent)), "links")
+    return written(links.union(_large_buckets(rows.where(F.col("m") > SMALL), sets, limit, percent)), "links")
 
 
-def _large_buckets(rows: DataFrame, tokens: DataFrame, limit: int, percent: int) -> DataFrame:
+def _large_buckets(rows: DataFrame, sets: DataFrame, limit: int, percent: int) -> DataFrame:
     """Links of large buckets: what lies outside the bucket's largest component against all of it, block by block.
 
-    Blocks hold a bounded number of classes with their sets. In a block the sketches are compared at once, the sets
+    Blocks hold a bounded number of bytes of sets, or one class. In a block the sketches are compared at once, the sets
     of what they pass one by one, and a class gives one link to each component that it links with: no pairs leave
-    the block but those."""
-    sets = tokens.join(rows.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.array_sort(F.collect_list("h")).alias("h"))
-    full = written(rows.join(sets, "id"), "large")
-    rest_pieces, all_pieces = F.ceil((F.col("m") - F.col("most")) / BLOCK_REST), F.ceil(F.col("m") / BLOCK_ALL)
+    the block but those. sets: id, h (the shingles that other classes have) and c, their number."""
+    keys = ["bucket", "i", "j"]
+    size = F.col("c") * 8 + SKETCH_BITS // 8
+    sums = rows.groupBy("bucket").agg(F.sum(F.when(F.col("component") != F.col("main"), size)).alias("rest"), F.sum(size).alias("every"))
+    pieces = sums.select("bucket", F.ceil(F.col("rest") / BYTES_REST).alias("ni"), F.ceil(F.col("every") / BYTES_ALL).alias("nj"))
+    full = written(rows.join(written(pieces, "pieces"), "bucket").join(sets.select("id", "h"), "id"), "large")
     piece = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n)
-    columns = ["bucket", "id", "component", "sketch", "h"]
-    rest = full.where("component <> main").select(*columns, piece(rest_pieces, 1).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), all_pieces - 1)).alias("j"))
-    every = full.select(*columns, F.explode(F.sequence(F.lit(0).cast("long"), rest_pieces - 1)).alias("i"), piece(all_pieces, 2).alias("j"))
-
-    def block(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(x) and len(y):
-            sx, sy = (np.stack(d["sketch"].to_list()).view(U) for d in (x, y))
-            ids, comps, hs = y["id"].to_numpy(), y["component"].to_numpy(), [np.asarray(h) for h in y["h"]]
-            sizes = np.array([len(h) for h in hs])
-            for i, (a, comp, h) in enumerate(zip(x["id"], x["component"], x["h"], strict=True)):
-                h = np.asarray(h)
-                close = np.bitwise_count(sx[i] ^ sy).sum(axis=1) <= limit
-                near = np.flatnonzero(close & (comps != comp) & (100 * np.minimum(sizes, len(h)) >= percent * np.maximum(sizes, len(h))))
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    columns = ["bucket", "id", "component", "n_shingles", "sketch", "h"]
+    rest = full.where("component <> main").select(*columns, piece(F.col("ni"), 1).alias("i"), spread(F.col("nj")).alias("j"))
+    every = full.select(*columns, spread(F.col("ni")).alias("i"), piece(F.col("nj"), 2).alias("j"))
+
+    def read(t: pa.Table) -> tuple[np.ndarray, ...]:
+        sketch, h = (t.column(c).combine_chunks() for c in ("sketch", "h"))
+        flat = h.flatten().to_numpy()
+        cuts = np.cumsum(pa.compute.list_value_length(h).to_numpy())[:-1]
+        return *(t.column(c).to_numpy() for c in ("id", "component", "n_shingles")), sketch.flatten().to_numpy().view(U).reshape(t.num_rows, -1), [np.sort(x) for x in np.split(flat, cuts)]
+
+    def block(x: pa.Table, y: pa.Table) -> pa.Table:
+        out: list[tuple[int, int]] = []
+        if x.num_rows and y.num_rows:
+            ids, comps, sizes, sketches, hs = read(y)
+            shared = np.array([len(h) for h in hs])
+            for a, comp, n, sketch, h in zip(*read(x), strict=True):
+                far = np.bitwise_count(sketch ^ sketches).sum(axis=1)
+                # as many shingles are common at most as the smaller has that others have
+                most = np.minimum(shared, len(h))
+                near = np.flatnonzero((far <= limit) & (comps != comp) & (100 * most >= percent * (n + sizes - most)))
                 linked = set()
-                for k in near[np.argsort(np.bitwise_count(sx[i] ^ sy[near]).sum(axis=1), kind="stable")]:
+                for k in near[np.argsort(far[near], kind="stable")]:
                     if comps[k] in linked:
                         continue
                     both = len(np.intersect1d(h, hs[k], assume_unique=True))
-                    if 100 * both >= percent * (len(h) + sizes[k] - both):
+                    if 100 * both >= percent * (n + sizes[k] - both):
                         linked.add(comps[k])
                         out.append((min(a, ids[k]), max(a, ids[k])))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
-    keys = ["bucket", "i", "j"]
     every = every.toDF(*every.columns)  # names of its own: both sides come from one table
-    return rest.groupBy(*keys).cogroup(every.groupBy(*keys)).applyInPandas(block, "a long, b long").distinct()
+    return rest.groupBy(*keys).cogroup(every.groupBy(*keys)).applyInArrow(block, "a long, b long").distinct()
 
 
 #: The same from all pairs that share a shingle, for DuckDB.
