@@ -4,11 +4,16 @@ A stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and
 as Parquet and read again as the next one's docs. All but the last return the columns of documents. Rows with equal
 doc_id and text are one document from the second stage on; other texts under the same id, and those without one, are
 documents of their own, after all with ids of their own.
+
+Defined cases: null, empty and wordless texts are rejected by the first stage; given to the second, such rows all stay
+but for repeats; the third leaves null and empty texts as they are; the fourth takes them (size 0) as their hash falls;
+the last packs them as their end token alone. Ties go to the smaller id. Empty tables give empty results. Further
+columns of documents, whatever their names, go along.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernel.llm import minhash, mixing, packing, quality, substring
@@ -22,34 +27,43 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """Add _key, equal where doc_id and text are: doc_id for the text of least hash under it, for others a hash of 62 bits."""
+    """key and doc, the whole row, so that no column's name can clash.
+
+    key is equal where doc_id and text are: doc_id for the text of least hash under it, for others a hash of 62 bits."""
     h = F.xxhash64("doc_id", "text")
-    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(h).alias("_first"), F.max(h).alias("_last")).where("_first <> _last")
-    several = written(several.select(F.col("doc_id").alias("_id"), "_first"), "several")
-    own = F.lit(1 << 62) + F.shiftrightunsigned(h, 2)
-    key = F.when(F.col("doc_id").isNotNull() & (F.col("_first").isNull() | (h == F.col("_first"))), F.col("doc_id").cast("long")).otherwise(own)
-    return docs.join(several, F.col("doc_id") == F.col("_id"), "left").select(*docs.columns, key.alias("_key"))
+    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(h).alias("first"), F.max(h).alias("last")).where("first <> last")
+    several = written(several.select(F.col("doc_id").alias("id"), "first"), "several")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), h.alias("h"))
+    own = F.lit(1 << 62) + F.shiftrightunsigned("h", 2)
+    id_ = F.col("doc.doc_id")
+    key = F.when(id_.isNotNull() & (F.col("first").isNull() | (F.col("h") == F.col("first"))), id_.cast("long")).otherwise(own)
+    return rows.join(several, id_ == F.col("id"), "left").select("doc", key.alias("key"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, once if its row is repeated."""
+    """One document of each near-duplicate group stays, once if its row is repeated (of rows that differ in other columns, that of least hash)."""
     rows = keyed(docs)
-    kept = minhash.near_duplicates(rows, key="_key").where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return rows.join(kept, F.col("_key") == F.col("_id"), "left_semi").dropDuplicates(["_key"]).drop("_key")
+    found = minhash.near_duplicates(rows.select("key", "doc.text"), key="key").where("kept").select(F.col("doc_id").alias("kept")).distinct()
+    rows = rows.join(written(found, "kept"), F.col("key") == F.col("kept"), "left_semi")
+    first = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(*(F.col("doc")[c] for c in docs.columns))))
+    return rows.withColumn("n", first).where("n = 1").select("doc.*")
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that a document shares with an earlier one are cut out; n_chars follows."""
-    rows = keyed(docs)
-    cut = substring.cut_passages(rows, substring.shared_passages(rows, key="_key"), key="_key").drop("_key")
-    return cut.withColumn("n_chars", F.length("text").cast("long"))
+    """Passages that a document shares with an earlier one are cut out; n_chars follows. A document left without words goes."""
+    rows = keyed(docs).select("doc", "key", "doc.text")
+    cut = substring.cut_passages(rows, substring.shared_passages(rows, key="key"), key="key")
+    doc = F.col("doc").withField("text", F.col("text"))
+    if "n_chars" in docs.columns:
+        doc = doc.withField("n_chars", F.length("text").cast("long"))
+    return cut.select(doc.alias("doc")).select("doc.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; repeats are rows of their own."""
     rows = keyed(docs)
-    times = mixing.mix_documents(rows, key="_key").where("times > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("times").cast("int").alias("_times"))
-    return rows.join(times, F.col("_key") == F.col("_id")).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    times = mixing.mix_documents(rows.select("key", "doc.text", "doc.source"), key="key").where("times > 0").groupBy(F.col("doc_id").alias("id")).agg(F.max("times").cast("int").alias("times"))
+    return rows.join(written(times, "times"), F.col("key") == F.col("id")).select("doc", F.explode(F.sequence(F.lit(1), "times"))).select("doc.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
