@@ -9,6 +9,7 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 _shipped: set[str] = set()
 _own: dict[str, str] = {}
 
@@ -35,7 +36,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that Python workers can import it anywhere."""
+    """Send this package to the executors once per application, so that Python workers can import it anywhere.
+
+    Arrow batches of this session get BATCH_ROWS rows if their size is Spark's own: texts can be long, and a worker and
+    its task hold a batch or more each."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
