@@ -89,6 +89,7 @@ def tokenize_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary())], names=schema.names)
                     row, start, length, total, ids = [], [], [], [], []
                     held = 0
+            _encoders.pop(f"slow {path}", None)  # it is large and seldom needed
 
     return src.mapInArrow(run, schema)
 

@@ -370,14 +370,15 @@ class Pool:
             for b in batches:
                 for x in b.column(1):
                     out += np.frombuffer(x.as_buffer(), np.float64).reshape(d + 1, d)
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([out.tobytes()])], names=["part", "sums"])
+            if out.any():
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([out.tobytes()])], names=["part", "sums"])
 
         rows = self.labelled[0]
         for more in self.labelled[1:]:
             rows = rows.union(more)
         parts = rows.where(F.col("view") == view).mapInArrow(partial, schema).repartition(16, "part").mapInArrow(total, schema)
         out = np.zeros((d + 1, d))
-        for x in parts.toArrow()["sums"].to_pylist():  # one row a part
+        for x in parts.toArrow()["sums"].to_pylist():  # one row a part at most
             out += np.frombuffer(x, np.float64).reshape(d + 1, d)
         return out[:-1], out[-1]
 
