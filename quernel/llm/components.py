@@ -12,36 +12,26 @@ from pyspark.sql import functions as F
 from quernel.session import written
 
 
-#: Nodes with more than this share of the links are hot: there are at most 2 / HOT of them.
-HOT = 1 / 2048
-
-
-def _with_least(links: DataFrame, least: DataFrame, total: int) -> DataFrame:
-    """links joined to their node's row of least (u, m, n: its number of links). Rows of hot nodes are broadcast."""
-    hot = least.where(F.col("n") > F.lit(int(total * HOT))).select("u", F.col("m").alias("hot"))
-    usual = links.join(F.broadcast(hot), "u", "left_anti").join(least.select("u", "m"), "u")
-    return usual.union(links.join(F.broadcast(hot), "u").select(*links.columns, "hot"))
-
-
-def _large(e: DataFrame, total: int) -> DataFrame:
+def _large(e: DataFrame) -> DataFrame:
     both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-    return _with_least(both.where("v > u"), least, 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    # written, so that the rows of a node with many links can be split in the join
+    least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small(e: DataFrame, total: int) -> DataFrame:
+def _small(e: DataFrame) -> DataFrame:
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    moved = _with_least(down, least, total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and component (the smallest node reachable) for every node of a link between two different nodes."""
     e = written(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "links")
-    last, total = None, e.count()
+    last = None
     while True:
-        e = written(_small(_large(e, total), total), "links")
+        e = written(_small(_large(e)), "links")
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == last:
             break
