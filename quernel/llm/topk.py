@@ -2,16 +2,19 @@
 
 For a query, every dimension is a list of the candidates sorted by how much that dimension adds to the inner
 product. Lists are read from the top, to the same depth each. What has been read of a candidate, with the last
-value read (or the list's end) for the rest, bounds its score from above (or below). When no candidate outside
-the best can still reach the k-th best lower bound, reading stops and the final scores of those that can are
-resolved. The bounds of a block of queries and a block of candidates are matrix products.
+value read (or the list's end) for the rest, bounds its score from above (or below). Candidates that can no longer
+reach the k-th best lower bound are out; reading stops when few are left or the lists nearly end, and the final scores
+of those left, and of no others, are resolved. The bounds of a block of queries and a block of candidates are matrix
+products.
 
 Queries and candidates are dealt into blocks by hash of their id, so that every task holds a bounded number of
-both; each block gives its best k, and the best k of those are kept.
+both. The first block of candidates is searched before the others: its k-th best score of a query is a bound below
+which no other block need look. Each block gives its best k, and the best k of those are kept.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; shorter vectors count
-as padded with zeros; ties go to the smaller id; a query's own id is no candidate; equal vectors are all kept as
-candidates; an empty table gives an empty result; other columns are ignored.
+as padded with zeros; ties go to the smaller id; rows with a query's own id are no candidates of it; repeated rows
+are candidates each, but a query id asks once (with the least of its vectors), so it has k rows at most; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +28,10 @@ from quernel.session import ship, written
 
 #: Rows in a block of queries and of candidates, about.
 QUERY_ROWS, CANDIDATE_ROWS = 1024, 8192
-#: Shares of the lists read before bounds are compared; then all that is left is resolved.
-DEPTHS = (0.25, 0.5, 0.75)
+#: Shares of the lists read before bounds are compared, and the share of candidates left with which reading stops.
+DEPTHS, FEW = (0.3, 0.6, 0.8, 0.9, 0.95), 0.02
+#: Pairs of a query and a candidate left that are resolved at once.
+RESOLVED = 1 << 16
 
 
 def exact_type(q: np.ndarray, x: np.ndarray) -> np.dtype:
@@ -35,8 +40,11 @@ def exact_type(q: np.ndarray, x: np.ndarray) -> np.dtype:
     return np.dtype("f4" if most < 2**24 else "f8" if most < 2**53 else "i8")
 
 
-def nra_topk(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, depths: tuple[float, ...] = DEPTHS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query ids, candidate ids, scores) of the k best for each query; x_ids ascending, ties to the smaller id."""
+def nra_topk(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, depths: tuple[float, ...] = DEPTHS, floor: np.ndarray | None = None, left: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, candidate ids, scores) of the k best for each query; x_ids ascending, ties to the smaller id.
+
+    floor: for each query a score below which none is wanted, or NaN. left, if given, gets (depth, share of candidates
+    that can still qualify) for each depth read."""
     kind = exact_type(q, x)
     q, x = q.astype(kind), x.astype(kind)
     n = len(x)
@@ -49,30 +57,24 @@ def nra_topk(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray,
     for s in range(0, len(q), 256):
         some = q[s : s + 256]
         up, down = np.maximum(some, 0), np.minimum(some, 0)
-        own, alive = q_ids[s : s + 256, None] == x_ids[None, :], None
-        for share in depths:
+        own = q_ids[s : s + 256, None] == x_ids[None, :]
+        alive = ~own
+        for share in depths if n > 4 * k else ():
             depth = max(1, int(n * share))
-            if depth >= n or n <= 4 * k:
-                break
             top, low = rank >= n - depth, rank < depth
             upper = up @ np.where(top, x, lists[n - depth]).T + down @ np.where(low, x, lists[depth - 1]).T
             lower = up @ np.where(top, x, lists[0]).T + down @ np.where(low, x, lists[-1]).T
             lower[own] = least
             kth = np.partition(lower, n - k1, axis=1)[:, n - k1]
-            alive = (upper >= kth[:, None]) & ~own
-            if alive.mean() < 0.02:
+            if floor is not None:
+                kth = np.fmax(kth, floor[s : s + 256]).astype(kind)
+            alive &= upper >= kth[:, None]
+            if left is not None:
+                left.append((share, float(alive.mean())))
+            if alive.mean() < FEW:
                 break
-        if alive is None or alive.mean() > 0.2:  # most can still qualify: resolve the block at once
-            scores = some @ x.T
-            scores[own if alive is None else ~alive] = least
-            kth = np.partition(scores, n - k1, axis=1)[:, n - k1]
-            r, c = np.nonzero(scores >= kth[:, None])
-            v = scores[r, c]
-        else:
-            r, c = np.nonzero(alive)
-            v = np.einsum("ij,ij->i", some[r], x[c])
-        keep = v != least
-        r, c, v = r[keep], c[keep], v[keep]
+        r, c = np.nonzero(alive)
+        v = np.concatenate([np.einsum("ij,ij->i", some[r[i : i + RESOLVED]], x[c[i : i + RESOLVED]]) for i in range(0, len(r), RESOLVED)] or [np.zeros(0, kind)])
         o = np.lexsort((c, -v, r))
         r, c, v = r[o], c[o], v[o]
         place = np.arange(len(r)) - np.searchsorted(r, r)
@@ -95,22 +97,33 @@ def top_k(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", *,
     v = F.col(vector).cast("array<double>")
     rows = vectors.select(F.col(key).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
     rows = written(rows.where(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))), "vectors")
-    asked = F.col("id") % query_every == 0
-    n, nq = rows.agg(F.count("*"), F.count_if(asked)).first()
+    asked = rows.where(F.col("id") % query_every == 0).groupBy("id").agg(F.min("v").alias("v"))
+    n, nq = rows.count(), asked.count()
     parts, groups = max(1, -(-n // CANDIDATE_ROWS)), max(1, -(-nq // QUERY_ROWS))
-    seq = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<long>"))
-    candidates = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("p"), seq(groups).alias("g"))
-    queries = rows.where(asked).select("id", "v", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)).alias("g"), seq(parts).alias("p"))
+    seq = lambda start, m: F.explode(F.sequence(F.lit(start), F.lit(m - 1)).cast("array<long>"))
+    dealt = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("p"))
+    queries = asked.select("id", "v", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)).alias("g"))
 
     def block(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
         q, x = q.sort_values("id", kind="stable"), x.sort_values("id", kind="stable")
         width = max(q["v"].map(len).max(), x["v"].map(len).max())
-        got = nra_topk(_matrix(q["v"], scale, width), q["id"].to_numpy(), _matrix(x["v"], scale, width), x["id"].to_numpy(), k)
+        got = nra_topk(_matrix(q["v"], scale, width), q["id"].to_numpy(), _matrix(x["v"], scale, width), x["id"].to_numpy(), k, floor=q["floor"].to_numpy(float))
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), got, strict=True)))
 
-    best = queries.groupBy("g", "p").cogroup(candidates.groupBy("g", "p")).applyInPandas(block, "query_id long, vec_id long, score long")
+    def searched(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+        candidates = candidates.toDF(*candidates.columns)  # names of its own: both sides come from one table
+        return queries.groupBy("g", "p").cogroup(candidates.groupBy("g", "p")).applyInPandas(block, "query_id long, vec_id long, score long")
+
+    none = F.lit(float("nan")).alias("floor")
+    best = searched(queries.select("id", "v", "g", F.lit(0).cast("long").alias("p"), none), dealt.where("p = 0").select("id", "v", "p", seq(0, groups).alias("g")))
+    if parts > 1:
+        best = written(best, "first")
+        # a query with fewer than k candidates in the first block has no bound
+        floors = best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("floor"))
+        bounded = queries.join(floors, F.col("id") == F.col("query_id"), "left").select("id", "v", "g", F.coalesce("floor", none).alias("floor"), seq(1, parts).alias("p"))
+        best = best.union(searched(bounded, dealt.where("p > 0").select("id", "v", "p", seq(0, groups).alias("g"))))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
