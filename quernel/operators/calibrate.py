@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quernel.functions import signals as S
 from quernel.operators import corpus, metrics
-from quernel.session import ship
+from quernel.session import ship, written
 
 GRID = 21  # weights 0, 0.05, ... 1
 
@@ -69,26 +69,28 @@ def _newton(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 60) -> np
 
 
 def logistic_probe(hidden: DataFrame, keys: list[str], c: float = 1.0) -> DataFrame:
-    """Standardized ridge logistic regression for each group (a layer of a calibration sample: some hundred rows).
+    """Standardized ridge logistic regression for each group, fitted to a calibration sample and judged on all other rows.
 
-    hidden: keys, label, vec and fit (whether the row is fitted to). Gives coef, bias, mean, sd and the AUROC over
-    rows that are not fitted to (over all, if there are none)."""
+    hidden: keys, label, vec and fit (whether the row is fitted to: some hundred rows a group, as calibration_sample
+    gives them; only these are gathered). Gives coef, bias, mean, sd and the AUROC over the rows that are not fitted to
+    (over all, if there are none), which Spark scores where they lie."""
     ship(hidden.sparkSession)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, f = np.stack(pdf["vec"].to_list()), pdf["label"].to_numpy(float), pdf["fit"].to_numpy(bool)
-        mean, sd = x[f].mean(axis=0), x[f].std(axis=0)
+        x, y = np.stack(pdf["vec"].to_list()), pdf["label"].to_numpy(float)
+        mean, sd = x.mean(axis=0), x.std(axis=0)
         sd[sd < 1e-12] = 1
-        z = (x - mean) / sd
-        w = _newton(z[f], y[f], c) if len(np.unique(y[f])) == 2 else np.zeros(x.shape[1] + 1)
-        rest = ~f if (~f).any() else f
-        s, t = (z @ w[:-1] + w[-1])[rest], y[rest]
-        pos, neg = s[t == 1], s[t == 0]
-        auc = 0.5 if not len(pos) or not len(neg) else float(((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / (len(pos) * len(neg)))
-        return pd.DataFrame([{k: pdf[k].iloc[0] for k in keys} | {"coef": w[:-1].tolist(), "bias": float(w[-1]), "mean": mean.tolist(), "sd": sd.tolist(), "auroc": auc}])
+        w = _newton((x - mean) / sd, y, c) if len(np.unique(y)) == 2 else np.zeros(x.shape[1] + 1)
+        return pd.DataFrame([{k: pdf[k].iloc[0] for k in keys} | {"coef": w[:-1].tolist(), "bias": float(w[-1]), "mean": mean.tolist(), "sd": sd.tolist()}])
 
     kinds = ", ".join(f"{k} {hidden.schema[k].dataType.simpleString()}" for k in keys)
-    return hidden.groupBy(*keys).applyInPandas(fit, f"{kinds}, coef array<double>, bias double, mean array<double>, sd array<double>, auroc double")
+    fitted = hidden.where("fit").select(*keys, "label", "vec").groupBy(*keys).applyInPandas(fit, f"{kinds}, coef array<double>, bias double, mean array<double>, sd array<double>")
+    probe = written(fitted, "probe")
+    # one row a group; a group without other rows is judged on its own
+    rest = hidden.groupBy(*keys).agg(F.bool_and("fit").alias("alone"))
+    judged = hidden.join(F.broadcast(probe), keys).join(F.broadcast(rest), keys).where(~F.col("fit") | F.col("alone"))
+    scored = judged.select(*keys, "label", S.probe_score(F.col("vec"), F.col("coef"), F.col("bias"), F.col("mean"), F.col("sd")).alias("score"))
+    return probe.join(F.broadcast(metrics.auroc(scored, keys)), keys)
 
 
 def alpha_curve(df: DataFrame, keys: list[str], zr: str = "zr", zp: str = "zp", digits: int = 6) -> DataFrame:

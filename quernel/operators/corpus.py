@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernel.functions import text
+from quernel.operators import ranks
 
 # The kinds of insertion, their goals and templates. They are data to be detected.
 ATTACK_TYPES = ("topic", "naive", "fake", "combined")
@@ -97,8 +98,7 @@ def inject(df: DataFrame, passage: str = "passage", kind: str = "attack_type", g
 
 def stratified_split(df: DataFrame, strata: list[str], key: str, seed: int = 42, fractions: tuple[float, ...] = (0.6, 0.2, 0.2)) -> DataFrame:
     """Add split: of each stratum, in a hashed order, the first share train, the next val, the rest test."""
-    w, all_ = Window.partitionBy(*strata).orderBy(text.shuffled_by(F.col(key), seed), key), Window.partitionBy(*strata)
-    ranked = df.withColumns({"_r": F.row_number().over(w), "_n": F.count("*").over(all_)})
+    ranked = ranks.by_hash(df, strata, text.shuffled_by(F.col(key), seed), key, "_r", "_n")
     train, val = (F.floor(F.col("_n") * F.lit(float(f))) for f in fractions[:2])
     split = F.when(F.col("_r") <= train, "train").when(F.col("_r") <= train + val, "val").otherwise("test")
     return ranked.withColumn("split", split).drop("_r", "_n")
@@ -129,9 +129,6 @@ def round_robin(df: DataFrame, strata: str, key: str, n: int, seed: int = 42) ->
 def row_ids(df: DataFrame, strata: list[str], order: list[str]) -> DataFrame:
     """Add id by position in the order of strata, then order: c00000 for clean rows, i00000 for others, going on over both.
 
-    Positions come from the strata's counts, few rows, and a window within each stratum."""
-    before = Window.orderBy(*strata).rowsBetween(Window.unboundedPreceding, -1)
-    starts = df.groupBy(*strata).agg(F.count("*").alias("_n")).select(*strata, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
-    pos = F.col("_s") + F.row_number().over(Window.partitionBy(*strata).orderBy(*order)) - 1
-    out = df.join(starts, strata).withColumn("_pos", pos)
-    return out.withColumn("id", F.format_string("%s%05d", F.when(F.col("label") == 0, "c").otherwise("i"), F.col("_pos"))).drop("_s", "_pos")
+    Positions are taken in ranges of that order, so no stratum has to fit in one task."""
+    out = ranks.by_range(df, [*strata, *order], "_pos")
+    return out.withColumn("id", F.format_string("%s%05d", F.when(F.col("label") == 0, "c").otherwise("i"), F.col("_pos") - 1)).drop("_pos")

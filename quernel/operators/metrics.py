@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernel.session import written
+
 PARTS = 32
 
 
@@ -26,6 +28,7 @@ def ties(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
 def with_above(tied: DataFrame, keys: list[str], score: str, parts: int = PARTS) -> DataFrame:
     """Add p_above and n_above, the positives and negatives with a higher score, and the totals p_all and n_all."""
     parts = max(2, parts)
+    tied = written(tied, "ties")  # read three times: a row a group and score
     shares = [i / parts for i in range(1, parts)]
     cuts = tied.groupBy(*keys).agg(F.percentile_approx(score, shares, 1000).alias("_cuts"), F.sum("p").alias("p_all"), F.sum("n").alias("n_all"))
     part = tied.join(cuts, keys).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(score)))).drop("_cuts")

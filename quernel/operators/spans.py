@@ -18,7 +18,7 @@ NOTES = {
 
 
 def word_offsets(prompt: Column) -> Column:
-    """(s, e) of the pieces between spaces, in order: the default tokenizer. Any array of such structs may stand in."""
+    """(s, e) of the pieces between spaces, in order, as a column that other tokenizers' offsets may stand in for."""
     pieces = F.split(prompt, " ")
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
     step = lambda a, w: F.struct((a["at"] + F.length(w) + 1).alias("at"), F.array_append(a["out"], F.struct(a["at"].alias("s"), (a["at"] + F.length(w)).alias("e"))).alias("out"))
@@ -31,10 +31,29 @@ def span_tokens(offsets: Column, start: Column, end: Column) -> Column:
     return F.when(F.size(at) > 0, F.struct(F.array_min(at).alias("s"), (F.array_max(at) + 1).alias("e")))
 
 
-def encode(df: DataFrame, max_seq_len: int = 1024, tail: int = 48, template: str = text.PLAIN_PROMPT) -> DataFrame:
+def word_count(prompt: Column) -> Column:
+    """How many pieces between spaces there are."""
+    return F.length(prompt) - F.length(F.replace(prompt, F.lit(" "))) + 1
+
+
+def word_span(prompt: Column, start: Column, end: Column) -> Column:
+    """span_tokens of the pieces between spaces: their numbers are the spaces before them, so no offsets are built."""
+    s = word_count(F.left(prompt, start + 1)) - 1 + (start >= F.length(prompt)).cast("int")
+    e = word_count(F.left(prompt, F.greatest(end - 1, F.lit(0))))
+    return F.when((s < e) & (end > 0), F.struct(s.alias("s"), e.alias("e")))
+
+
+def word_text(prompt: Column, span: Column) -> Column:
+    """The text that a range of the pieces between spaces covers."""
+    upto = F.call_function("substring_index", prompt, F.lit(" "), span["e"])
+    skipped = F.when(span["s"] > 0, F.length(F.call_function("substring_index", prompt, F.lit(" "), span["s"])) + 1).otherwise(0)
+    return F.substring(upto, skipped + 1, F.length(upto))
+
+
+def encode(df: DataFrame, max_seq_len: int = 1024, tail: int = 48, template: str = text.PLAIN_PROMPT, offsets: str | None = None) -> DataFrame:
     """Render each sample (passage, query, injection, injection_offset) and locate its parts.
 
-    Adds prompt, n_tokens, p_tok, q_tok, i_tok (for clean rows the passage's last `tail` tokens), valid and note."""
+    Tokens are the pieces between spaces, or those of the column offsets. Adds prompt, n_tokens, p_tok, q_tok, i_tok (for clean rows the passage's last `tail` tokens), valid and note."""
     out = df.withColumn("prompt", text.render(template, query=F.col("query"), passage=F.col("passage")) if "{query}" not in template else F.concat(*_parts(template)))
     out = out.withColumn("_p", text.find(F.col("prompt"), F.col("passage")))
     out = out.withColumn("_q", text.find(F.col("prompt"), F.col("query"), F.when(F.col("_p") >= 0, F.col("_p") + F.length("passage")).otherwise(F.lit(0))))
@@ -44,8 +63,8 @@ def encode(df: DataFrame, max_seq_len: int = 1024, tail: int = 48, template: str
     searched = text.find(F.col("prompt"), F.coalesce("injection", F.lit("")))
     out = out.withColumn("_i", F.when(~injected, F.lit(-1)).when(known, F.col("_p") + off["start"]).otherwise(searched))
     out = out.withColumn("_ie", F.col("_i") + F.when(injected & known, off["end"] - off["start"]).otherwise(F.coalesce(F.length("injection"), F.lit(0))))
-    out = out.withColumn("_off", word_offsets(F.col("prompt"))).withColumn("n_tokens", F.size("_off"))
-    tok = lambda c, end: F.when(F.col(c) >= 0, span_tokens(F.col("_off"), F.col(c), end))
+    out = out.withColumn("n_tokens", F.size(offsets) if offsets else word_count(F.col("prompt")))
+    tok = lambda c, end: F.when(F.col(c) >= 0, span_tokens(F.col(offsets), F.col(c), end) if offsets else word_span(F.col("prompt"), F.col(c), end))
     out = out.withColumns({"p_tok": tok("_p", F.col("_p") + F.length("passage")), "q_tok": tok("_q", F.col("_q") + F.length("query")), "_t": tok("_i", F.col("_ie"))})
     note = (
         F.when(F.col("_p") < 0, NOTES["passage"])
@@ -71,16 +90,21 @@ def decoded(prompt: Column, offsets: Column, span: Column) -> Column:
     return text.between(prompt, F.element_at(offsets, span["s"] + 1)["s"], F.element_at(offsets, span["e"])["e"])
 
 
-def gate(encoded: DataFrame, head: int = 60, query_head: int = 40, share: float = 0.8) -> DataFrame:
-    """Check that each range holds its text: ok_passage, ok_query, ok_injection and all_ok for every sample."""
+def gate(encoded: DataFrame, head: int = 60, query_head: int = 40, share: float = 0.8, offsets: str | None = None) -> DataFrame:
+    """Check that each range holds its text: ok_passage, ok_query, ok_injection and all_ok for every sample.
+
+    snippets has the beginning and end, `head` characters each, of what each range covers: p, q and i, for reports."""
     norm = lambda c: F.lower(F.regexp_replace(c, text.SPACE, " "))
-    out = encoded.withColumns({f"_{k}": norm(decoded(F.col("prompt"), F.col("_off"), F.col(f"{k}_tok"))) for k in "pqi"} | {"_sp": norm(F.col("passage")), "_sq": norm(F.col("query"))})
+    covered = {k: decoded(F.col("prompt"), F.col(offsets), F.col(f"{k}_tok")) if offsets else word_text(F.col("prompt"), F.col(f"{k}_tok")) for k in "pqi"}
+    ends = lambda c: F.struct(F.left(c, F.lit(head)).alias("head"), F.right(c, F.lit(head)).alias("tail"))
+    out = encoded.withColumn("snippets", F.struct(*(ends(c).alias(k) for k, c in covered.items())))
+    out = out.withColumns({f"_{k}": norm(c) for k, c in covered.items()} | {"_sp": norm(F.col("passage")), "_sq": norm(F.col("query"))})
     ok_p = F.contains("_p", F.substring("_sp", 1, head)) | F.contains(F.col("_p"), F.right("_sp", F.lit(head))) | (text.containment(F.col("_sp"), F.col("_p")) > share)
     ok_q = F.contains("_q", F.substring("_sq", 1, query_head)) | (text.containment(F.col("_sq"), F.col("_q")) > share)
     ok_i = F.when(F.coalesce(F.length("injection"), F.lit(0)) > 0, text.containment(norm(F.col("injection")), F.col("_i")) > share).otherwise(True)
     no = lambda c: F.coalesce(c, F.lit(False))
     out = out.withColumns({"ok_passage": no(ok_p), "ok_query": no(ok_q), "ok_injection": no(ok_i)})
-    return out.withColumn("all_ok", F.col("valid") & F.col("ok_passage") & F.col("ok_query") & F.col("ok_injection")).drop("_p", "_q", "_i", "_sp", "_sq", "_off")
+    return out.withColumn("all_ok", F.col("valid") & F.col("ok_passage") & F.col("ok_query") & F.col("ok_injection")).drop("_p", "_q", "_i", "_sp", "_sq")
 
 
 def gate_summary(gated: DataFrame) -> DataFrame:
