@@ -1,4 +1,4 @@
-"""python -m quernel.cli STAGE --data DIR: dataset, gate, extract, calibrate, decide or report, each from the files of those before."""
+"""python -m quernel.cli STAGE --data DIR: dataset, gate, extract (or stream: only what is new), calibrate, decide or report, each from the files of those before."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from quernel.operators import calibrate, corpus, dataset, decide, spans
 from quernel.sources import sinks, tables
 from quernel.streaming import incremental
 
-STAGES = ("dataset", "gate", "extract", "calibrate", "decide", "report")
+STAGES = ("dataset", "gate", "extract", "stream", "calibrate", "decide", "report")
 
 
 def run(spark: SparkSession, stage: str, data: str, cfg: Config, force: bool = False) -> int:
@@ -29,6 +29,14 @@ def run(spark: SparkSession, stage: str, data: str, cfg: Config, force: bool = F
         sinks.write_table(dataset.build_dataset(pairs, cfg), path("dataset"))
         rows, value = tables.fingerprint(tables.read_table(spark, path("dataset"), tables.DATASET))
         sinks.save_json({"rows": rows, "fingerprint": value, "source": name}, path("fingerprint.json"))
+        if stored and stored.get("fingerprint") != value:  # signals of other samples
+            sinks.discard(spark, *map(path, ("masses", "widths", "hidden", "rejects", "stream", "specs.json")))
+    elif stage == "stream":
+        progress = incremental.Progress(lambda b: print(f"batch {b[0]}: {b[1]} samples"))
+        spark.streams.addListener(progress)
+        prepare = lambda df: spans.encode(df.withColumnRenamed("id", "sample_id"), cfg.max_seq_len, cfg.tail_len)
+        incremental.extraction_stream(spark, path("dataset"), tables.DATASET, path("stream"), path("stream/checkpoint"), prepare=prepare).awaitTermination()
+        spark.streams.removeListener(progress)
     elif stage in ("gate", "extract"):
         d = tables.read_table(spark, path("dataset"), tables.DATASET).withColumnRenamed("id", "sample_id")
         if stage == "gate":

@@ -264,3 +264,17 @@ ORACLES: dict[str, str] = {
     "first_seen_distinct": "SELECT source, min(doc_id) AS first_doc FROM documents GROUP BY source",
     "table_fingerprint": "SELECT count(*) AS n, CAST(sum(CAST('0x' || substr(md5(concat_ws('|', CAST(doc_id AS VARCHAR), text, lang, source, CAST(n_chars AS VARCHAR))), 1, 8) AS BIGINT)) AS BIGINT) AS fingerprint FROM documents",
 }
+
+TRAIN_HEADS = HEADS.replace("FROM r)", "FROM tr)")
+POOLED = _sample("label", 80).format(where="label = 0") + " UNION ALL SELECT * FROM " + _sample("attack_type", 20).format(where="label = 1")
+ORACLES |= {
+    "pooled_head": f"{ALL}, few AS (SELECT * FROM {POOLED}), rf AS (SELECT r.* FROM r JOIN few USING (sample_id)), {HEADS.replace('FROM r)', 'FROM rf)')} SELECT layer, head, a9 AS auroc, rank FROM heads",
+    "baseline_head": f"{ALL}, tr AS (SELECT * FROM r WHERE split = 'train'), {TRAIN_HEADS}, own AS (SELECT r.*, 1 AS g FROM r JOIN heads USING (layer, head) WHERE rank = 1), va AS (SELECT * FROM own WHERE split = 'val'), th AS {_theta('va', 'g', '0.05e0', 'r')} SELECT layer, head, round(theta, 6) AS theta, round(count(*) FILTER (WHERE r > theta AND label = 1) / greatest(1, count(*) FILTER (WHERE label = 1)), 6) AS tpr, round(count(*) FILTER (WHERE r > theta AND label = 0) / greatest(1, count(*) FILTER (WHERE label = 0)), 6) AS fpr FROM own JOIN (SELECT g, theta FROM th) USING (g) WHERE split = 'test' GROUP BY layer, head, theta",
+    "width_correlation_injected": f"{ALL} SELECT layer, head, count(*) AS n, CASE WHEN count(*) > 2 THEN round({PEARSON.format(a='r', b='w_i')}, 6) END AS corr_injected FROM r JOIN w USING (sample_id) WHERE split = 'test' AND label = 1 GROUP BY layer, head",
+    "quant_best_head": f"{QUANT}, {QUANT_HEADS}, {HEADS} SELECT layer, head, round(a9, 6) AS auroc, rho FROM heads JOIN qh USING (layer, head) WHERE rank = 1",
+    "criteria_comparisons": f"""WITH x AS (SELECT 1 AS o, 'fusion gain' AS metric, round(max(auroc_mean) FILTER (WHERE config = 'specialist alone') - max(auroc_mean) FILTER (WHERE config = 'fused shared'), 6) AS actual FROM ({ORACLES['tableB_mean']})
+UNION ALL SELECT 2, 'pairwise rho', round(max(abs(rho)), 6) FROM ({ORACLES['pearson_matrix']})
+UNION ALL SELECT 3, 'unseen gap', abs(gap) FROM ({ORACLES['tableE_unseen']})
+UNION ALL SELECT 4, 'precision correlation', rho_mean FROM ({ORACLES['quant_summary']}))
+SELECT metric, actual, CASE WHEN CASE o WHEN 1 THEN actual > 0.03 WHEN 2 THEN actual < 0.5 WHEN 3 THEN actual <= 0.1 ELSE actual > 0.9 END THEN 'MET' ELSE 'NOT MET' END AS status FROM x""",
+}

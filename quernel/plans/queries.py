@@ -791,6 +791,43 @@ def criteria(spark, d):
     return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
+@query
+def criteria_comparisons(spark, d):
+    """The targets that compare configurations: fusion's gain, the detectors' independence, the kind not seen, precision."""
+    b = tableB_mean(spark, d)
+    best = lambda c: F.max(F.when(F.col("config") == c, F.col("auroc_mean")))
+    gain = b.agg(F.round(best("specialist alone") - best("fused shared"), 6).alias("actual"))
+    rho = pearson_matrix(spark, d).agg(F.round(F.max(F.abs("rho")), 6).alias("actual"))
+    gap = tableE_unseen(spark, d).select(F.abs("gap").alias("actual"))
+    same = quant_summary(spark, d).select(F.col("rho_mean").alias("actual"))
+    rows = None
+    for name, df, met in (("fusion gain", gain, F.col("actual") > 0.03), ("pairwise rho", rho, F.col("actual") < 0.5), ("unseen gap", gap, F.col("actual") <= 0.1), ("precision correlation", same, F.col("actual") > 0.9)):
+        one = df.select(F.lit(name).alias("metric"), "actual", F.when(F.coalesce(met, F.lit(False)), "MET").otherwise("NOT MET").alias("status"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+@query
+def pooled_head(spark, d):
+    """Heads by AUROC over the pooled calibration sample: the shared head is the first."""
+    few = corpus.calibration_sample(B.samples(spark, d), "sample_id", 80, 80, None)
+    masses = B.masses(spark, d).join(F.broadcast(few.select("sample_id")), "sample_id")  # bounded by the sample's size
+    r = calibrate.rank_heads(calibrate.head_ratios(few, masses, B.widths(spark, d)))
+    return r.select("layer", "head", "auroc", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def baseline_head(spark, d):
+    """The attention baseline: the best training head, its threshold within 5% false positives on val, its rates on test."""
+    r = _ratios(spark, d).join(B.samples(spark, d).select("sample_id", "split"), "sample_id")
+    head = calibrate.rank_heads(r.where("split = 'train'")).where("rank = 1").select("layer", "head")
+    own = r.join(F.broadcast(head), ["layer", "head"])
+    theta = metrics.choose_theta(own.where("split = 'val'"), [], F.lit(0.05), "r").select("theta")
+    test = own.where("split = 'test'").join(F.broadcast(theta))
+    out = metrics.rates(test, ["layer", "head", "theta"], F.col("r"), F.col("theta"))
+    return _rounded(out.select("layer", "head", "theta", "tpr", "fpr"), "theta", "tpr", "fpr")
+
+
 @query
 def tableE_unseen(spark, d):
     """Decisions without the detector of one kind: its ASR against the mean of the others."""
@@ -829,6 +866,14 @@ def width_correlation(spark, d):
     return r.groupBy("layer", "head").agg(F.round(metrics.pearson(F.col("r"), wi), 6).alias("corr_all"))
 
 
+@query
+def width_correlation_injected(spark, d):
+    """The same over inserted rows only; null where there are two or fewer."""
+    r = _ratios(spark, d, "split = 'test' and label = 1").join(B.widths(spark, d), "sample_id")
+    rho = F.when(F.count("*") > 2, F.round(metrics.pearson(F.col("r"), F.col("w_i").cast("double")), 6))
+    return r.groupBy("layer", "head").agg(F.count("*").alias("n"), rho.alias("corr_injected"))
+
+
 @query
 def score_histogram(spark, d):
     return metrics.histogram(_scores(spark, d, "split = 'test'").where("name = 'general'"), ["label"], "s")
@@ -846,6 +891,13 @@ def quant_head_corr(spark, d):
     return a.join(b, ["sample_id", "layer", "head"]).groupBy("layer", "head").agg(F.round(metrics.pearson(F.col("r"), F.col("q")), 5).alias("rho"))
 
 
+@query
+def quant_best_head(spark, d):
+    """The correlation between precisions at the head that ranks best."""
+    best = hstar_head_auroc(spark, d).where("rank = 1").select("layer", "head", "auroc")
+    return quant_head_corr(spark, d).join(F.broadcast(best), ["layer", "head"]).select("layer", "head", "auroc", "rho")
+
+
 @query
 def quant_layer_cosine(spark, d):
     q = B.hidden(spark, d, quantized=True).withColumnRenamed("vec", "q")

@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Iterable
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,16 @@ def write_table(df: DataFrame, path: str, rows_per_file: int = 1_000_000) -> Non
     df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
+def discard(spark: SparkSession, *paths: str) -> list[str]:
+    """Delete tables that no longer hold, wherever they are stored; those that were there."""
+    gone = []
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True):
+            gone.append(path)
+    return gone
+
+
 def append_new(df: DataFrame, path: str, key: str) -> int:
     """Append the rows whose key the table doesn't have yet; how many there were. Running it again appends nothing."""
     spark = df.sparkSession

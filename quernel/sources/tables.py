@@ -37,6 +37,14 @@ def read_pairs_csv(spark: SparkSession, path: str, source: str = "local_csv") ->
     return raw.select(*(F.col(n).cast("string").alias(k) for k, n in found.items()), F.lit(source).alias("source_id"))
 
 
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """Decided records as write_csv leaves them, with their types: scores are numbers, decision is true or false."""
+    raw = require_columns(spark.read.csv(path, header=True), ("sample_id", "decision"), path)
+    kinds = {"label": "int", "decision": "boolean", "margin": "double"} | {c: "double" for c in raw.columns if c.startswith("s_")}
+    out = raw.select(*(F.col(c).cast(kinds.get(c, "string")).alias(c) for c in raw.columns))
+    return out.withColumn("fired", F.coalesce("fired", F.lit(""))) if "fired" in out.columns else out
+
+
 def first_source(candidates: Sequence[tuple[str, Callable[[], DataFrame | None]]]) -> tuple[str, DataFrame]:
     """The first candidate that gives a table with rows; what fails is passed over, and told if none is left."""
     failed = []

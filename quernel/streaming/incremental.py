@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from quernel.operators import spans
 from quernel.session import ship
@@ -62,6 +62,30 @@ def extract(encoded: DataFrame, extractor: SignalExtractor = stub_extractor) ->
     return encoded.where("valid").select("sample_id", "n_tokens", *ranges).mapInPandas(run, SIGNAL_SCHEMA)
 
 
+class Progress(StreamingQueryListener):
+    """Keeps what each batch of a stream did: (batch, rows, rows a second); tell is called with each."""
+
+    def __init__(self, tell: Callable[[tuple[int, int, float]], None] | None = None) -> None:
+        self.batches: list[tuple[int, int, float]] = []
+        self.ended: str | None = None
+        self._tell = tell
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802  names that Spark calls
+        self.ended = None
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        self.batches.append((p.batchId, p.numInputRows, p.processedRowsPerSecond))
+        if self._tell:
+            self._tell(self.batches[-1])
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.ended = event.exception or "done"
+
+
 def extraction_stream(spark: SparkSession, samples_path: str, schema: str, out_path: str, checkpoint: str, extractor: SignalExtractor = stub_extractor, prepare: Callable[[DataFrame], DataFrame] = spans.encode) -> StreamingQuery:
     """Extract signals of the samples that came since the last run, then stop; run it again to go on."""
 

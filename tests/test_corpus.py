@@ -60,3 +60,27 @@ def test_mass_reduce(spark):
     a = spark.range(5).select(F.lit("s").alias("sample_id"), F.lit(0).alias("layer"), F.lit(0).alias("head"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("kpos"), F.col("id").cast("int").alias("qpos"), F.lit(1.0).alias("a"))
     r = spark.sql("select 's' sample_id, named_struct('s', 0, 'e', 3) p_tok, named_struct('s', 1, 'e', 3) i_tok, named_struct('s', 3, 'e', 5) q_tok")
     assert tuple(spans.mass_reduce(a, r).first())[3:] == (6.0, 4.0, 4.0)
+
+
+def test_spans_by_spaces_equal_those_by_offsets(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [("".join(r.choice("ab  c") for _ in range(r.randint(0, 30))), r.randint(0, 32), r.randint(0, 34)) for _ in range(300)]
+    df = spark.createDataFrame([x for x in rows if x[1] < x[2]], "p string, a int, b int")
+    p, a, b = F.col("p"), F.col("a"), F.col("b")
+    by_offsets, by_spaces = spans.span_tokens(spans.word_offsets(p), a, b), spans.word_span(p, a, b)
+    got = df.select(by_offsets.alias("x"), by_spaces.alias("y"), spans.decoded(p, spans.word_offsets(p), by_offsets).alias("t"), spans.word_text(p, by_spaces).alias("u")).collect()
+    assert all(tuple(g["x"] or ()) == tuple(g["y"] or ()) and g["t"] == g["u"] for g in got) and any(g["x"] for g in got)
+
+
+def test_positions_by_hash_and_by_range(spark):
+    from quernel.operators import ranks
+
+    df = spark.range(500).select(F.col("id").cast("string").alias("k"), (F.col("id") % 3).alias("g"), F.when(F.col("id") % 7 > 0, F.lit("x")).alias("n"))
+    rows = ranks.by_hash(df, ["g", "n"], F.md5("k"), "k", "pos", "size").withColumn("h", F.md5("k")).collect()
+    for key in {(x["g"], x["n"]) for x in rows}:
+        own = sorted((x for x in rows if (x["g"], x["n"]) == key), key=lambda x: x["h"])
+        assert [x["pos"] for x in own] == list(range(1, len(own) + 1)) and {x["size"] for x in own} == {len(own)}
+    ordered = sorted(ranks.by_range(df, ["g", "k"], "pos").collect(), key=lambda x: x["pos"])
+    assert [(x["g"], x["k"]) for x in ordered] == sorted((x["g"], x["k"]) for x in rows) and [x["pos"] for x in ordered] == list(range(1, 501))

@@ -83,3 +83,27 @@ def test_extraction_stream_goes_on_where_it_was(spark, tmp_path):
     assert got.count() == 3 * 8 and got.select("sample_id").distinct().count() == 3
     assert [r["sample_id"] for r in spark.read.parquet(f"{out}/rejects").collect()] == ["s0"]
     assert incremental.todo(spark.createDataFrame(rows, schema), got).count() == 1
+
+
+def test_records_come_back_with_their_types(spark, tmp_path):
+    df = spark.createDataFrame([("a", "topic", 1, 0.5, 0.25, "topic", "", True, -1.5), ("b", None, 0, None, 1e9, None, "x|y", False, 2.0)], "sample_id string, attack_type string, label int, s_max double, margin double, attribution string, fired string, decision boolean, s_topic double")
+    sinks.write_csv(df, str(tmp_path / "r"))
+    got = tables.read_records(spark, str(tmp_path / "r"))
+    assert got.dtypes == df.dtypes and sorted(got.collect()) == sorted(df.collect())
+
+
+def test_discard_removes_only_what_is_there(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "t"))
+    assert sinks.discard(spark, str(tmp_path / "t"), str(tmp_path / "u")) == [str(tmp_path / "t")]
+    assert not (tmp_path / "t").exists()
+
+
+def test_stream_stage_takes_only_new_samples(spark, tmp_path):
+    from quernel import cli
+    from quernel.config import Config
+
+    cfg, d = Config().shrunk(), str(tmp_path / "d")
+    assert cli.run(spark, "dataset", d, cfg) == 0
+    assert cli.run(spark, "stream", d, cfg) == 0 and cli.run(spark, "stream", d, cfg) == 0
+    n = spark.read.parquet(f"{d}/stream/signals").select("sample_id").distinct().count() + spark.read.parquet(f"{d}/stream/rejects").count()
+    assert n == spark.read.parquet(f"{d}/dataset").count()
