@@ -306,3 +306,57 @@ def test_classifier_odd_cases(spark):
     assert all(r["kept"] == (r["doc_id"] not in (0, 1, 2)) for r in one)
     assert quality.classify(empty(spark), labels).count() == 0
     assert quality.classify(d, labels.limit(0)).count() == len(ODD) + 1
+
+
+def test_boilerplate_runs_equal_brute_force():
+    r = random.Random(8)
+    for n in (1, 2, 12, 150):
+        common = [[f"c{r.randrange(40)}" for _ in range(r.choice([2, 5, 8, 12, 20]))] for _ in range(6)]
+        pages = [[r.choice(common) if r.random() < 0.4 else [f"u{r.randrange(10**9)}" for _ in range(r.randint(1, 15))] for _ in range(r.randint(0, 6))] for _ in range(n)]
+        least = max(3, int(0.1 * n))
+        runs: dict[tuple, set] = {}
+        cut = lambda b: [tuple(b)] if len(b) < 8 else [tuple(b[i : i + 8]) for i in range(len(b) - 7)]
+        for k, p in enumerate(pages):
+            for b in p:
+                for x in cut(b):
+                    runs.setdefault(x, set()).add(k)
+        for p, got in zip(pages, html_extract.repeated(pages, 8, 0.1), strict=True):
+            for b, covered in zip(p, got, strict=True):
+                want = [False] * len(b)
+                for i, x in enumerate(cut(b)):
+                    if len(runs[x]) >= least:
+                        want[i : i + len(x)] = [True] * len(x)
+                assert covered.tolist() == want
+
+
+def test_a_query_id_asks_once_and_blocks_share_bounds(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    v = r.normal(size=(90, 5))
+    rows = [(i % 60, v[i % 80].tolist()) for i in range(90)]  # repeated ids, some with the same vector
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = np.floor(64 * np.array([x for _, x in rows]))
+    want = set()
+    for a in (0, 20, 40):
+        one = np.floor(64 * np.array(min(x for i, x in rows if i == a)))
+        best = sorted((-int(one @ q[j]), rows[j][0]) for j in range(90) if rows[j][0] != a)[:20]
+        want |= {(a, k + 1, b, -s) for k, (s, b) in enumerate(best)}
+    assert {tuple(x) for x in topk.top_k(df).collect()} == want
+    monkeypatch.setattr(topk, "CANDIDATE_ROWS", 16)
+    assert {tuple(x) for x in topk.top_k(df).collect()} == want
+
+
+def test_classifier_pool_gives_the_surest_rows(spark):
+    n = np.zeros(3001, np.int64)
+    n[[2990, 2950, 2900, 1000]] = 5, 10, 50, 500
+    least = quality.thresholds({("text", 1): n}, 565, 0.5, 0.1, 0.95)["text", 1]
+    assert least == (2900, pytest.approx((0.1 * 565 * 0.5 - 15) / 50))
+    assert quality.thresholds({("text", 1): n}, 565, 1.0, 1.0, 0.95)["text", 1][0] > 1000  # none less sure than 0.95
+
+
+def test_summed_fit_equals_a_fit_of_all_rows():
+    r = np.random.default_rng(5)
+    x, w = r.normal(size=(400, 4)), np.array([1.0, -2.0, 0.5, 0.0])
+    y = (r.random(400) < 1 / (1 + np.exp(-x @ w))).astype(float)
+    whole = quality.fit_logistic(x, y, l2=1.0, steps=50)
+    parts = quality.fit_logistic(x[:100], y[:100], l2=1.0, steps=50, more=lambda v: tuple(sum(s) for s in zip(*(quality.curvature(x[i : i + 100], y[i : i + 100], v, 0.0, 1.0) for i in (100, 200, 300)), strict=True)))
+    assert np.allclose(whole, parts, atol=1e-4)
