@@ -224,3 +224,40 @@ def test_repeats_within_a_passage_and_lines_of_other_documents(spark):
     got = {(x["doc_id"], x["other_doc_id"]): x for x in substring.shared_passages(df).collect()}
     assert set(got) == {(100 + c, c) for c in range(20)} | {(500 + c, 400 + c) for c in range(20)}
     assert all(x["n_words"] == (60 if d >= 500 else (60, 100, 60, 200)[(d - 100) % 4]) for (d, _), x in got.items())
+
+
+def test_passages_that_earlier_documents_quote_in_part(spark):
+    r = random.Random(12)
+    new = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    rows, want, at = [], set(), 0
+    for _ in range(15):
+        p = new(52)
+        for s in (0, 16, 32):  # earlier documents that quote 20 of its words
+            rows.append((at, " ".join(new(30) + p[s : s + 20] + new(30))))
+            at += 1
+        rows += [(at, " ".join(new(40) + p + new(40))), (at + 1, " ".join(new(25) + p + new(60)))]
+        want.add((at + 1, at))
+        at += 2
+    found = substring.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(x["doc_id"], x["other_doc_id"]) for x in found} == want
+
+
+def test_hot_seeds_give_the_same_links(spark, monkeypatch):
+    r = random.Random(13)
+    line = " ".join(f"l{i}" for i in range(60))
+    rows = [(i, " ".join(f"w{r.randrange(10**9)}" for _ in range(40)) + " " + line) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    links = lambda: sorted((x["doc_id"], x["other_doc_id"], x["n_words"]) for x in substring.shared_passages(df).collect())
+    usual = links()
+    assert usual == [(i, 0, 60) for i in range(1, 400)]
+    monkeypatch.setattr(substring, "SAMPLE", 4)
+    monkeypatch.setattr(substring, "HOT", 1 / 4096)
+    assert links() == usual
+
+
+def test_surroundings_keep_both_sides():
+    text = " ".join(f"a{i}" for i in range(60)).encode()
+    w = words.words_of(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    got = substring.contexts(w, np.array([0, 21, 22, 33, 34]), 5)
+    low, high = got & np.uint64(0xFFFFFFFF), got >> np.uint64(32)
+    assert (low > 0).tolist() == [False, False, True, True, True] and (high > 0).tolist() == [True, True, True, True, False]
