@@ -19,6 +19,8 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(f: Query) -> Query:
+    if f.__name__ in QUERIES:
+        raise ValueError(f"query {f.__name__} is registered already")
     QUERIES[f.__name__] = f
     return f
 
@@ -350,238 +352,6 @@ def probe_logreg(spark, d):
     return calibrate.logistic_probe(rows, ["layer"]).select("layer", F.round("auroc", 6).alias("auroc"), F.size("coef").alias("dims"))
 
 
-# --- corpus -----------------------------------------------------------------------------------------------------
-
-
-@query
-def clean_pairs_dedup(spark, d):
-    """The first of each distinct passage and question."""
-    p = B.pairs(spark, d)
-    return p.groupBy("passage", "query").agg(F.min("doc_id").alias("doc_id"), F.min_by("source_id", "doc_id").alias("source_id")).select("doc_id", "source_id", F.md5("passage").alias("passage_md5"))
-
-
-@query
-def clean_pairs(spark, d):
-    return corpus.clean_pairs(B.pairs(spark, d), "doc_id").select("doc_id", "passage", "query", "source_id")
-
-
-@query
-def passage_truncate(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.truncate_words(F.col("text"), 700).alias("passage"))
-
-
-@query
-def length_filter(spark, d):
-    return B.pairs(spark, d).where((F.length("passage") > 80) & (F.length("query") > 5)).select("doc_id", F.length("passage").alias("p_len"), F.length("query").alias("q_len"))
-
-
-@query
-def null_drop(spark, d):
-    """Rows without nulls in any column, where every seventh source is made null."""
-    p = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.col("source")).alias("source"), "lang")
-    return p.na.drop("any")
-
-
-@query
-def topic_keyword(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.topic_keyword(F.col("text")).alias("topic"))
-
-
-def _injected(spark: SparkSession, d: str) -> DataFrame:
-    """Every document with one insertion, kinds and goals in turn."""
-    kind = F.element_at(F.array(*map(F.lit, corpus.ATTACK_TYPES)), (F.col("doc_id") % 4 + 1).cast("int"))
-    goal = F.element_at(F.array(*map(F.lit, corpus.GOALS.values())), (F.floor(F.col("doc_id") / 4) % 5 + 1).cast("int"))
-    p = table(spark, d, "documents").select("doc_id", text.truncate_words(F.col("text"), 700).alias("passage"), kind.alias("attack_type"), goal.alias("goal_text"))
-    return corpus.inject(p)
-
-
-@query
-def injection_build(spark, d):
-    return _injected(spark, d).select("doc_id", "attack_type", "injection", F.md5("passage").alias("passage_md5"))
-
-
-@query
-def injection_offsets(spark, d):
-    """Offsets, and whether the passage holds the insertion there."""
-    i = _injected(spark, d)
-    off = F.col("injection_offset")
-    return i.select("doc_id", off["start"].alias("start"), off["end"].alias("end"), (text.between(F.col("passage"), off["start"], off["end"]) == F.col("injection")).alias("holds"))
-
-
-@query
-def injection_len_stats(spark, d):
-    n = F.length("injection")
-    return _injected(spark, d).groupBy("attack_type").agg(F.min(n).alias("min_len"), F.round(F.avg(n), 6).alias("mean_len"), F.max(n).alias("max_len"))
-
-
-@query
-def cyclic_base_assign(spark, d):
-    """Each cell of kinds x goals x 50 takes the next base row in a hashed order, starting over at the end."""
-    docs = table(spark, d, "documents").select("doc_id", text.shuffled_by(F.col("doc_id").cast("string"), 42).alias("h"))
-    cells = corpus.cells(spark, 50)  # 1000 rows, whatever the corpus
-    n = docs.agg(F.count("*").alias("n"))
-    want = cells.join(F.broadcast(n)).withColumn("at", F.col("pos") % F.col("n"))
-    # only the first as many base rows as there are cells can be taken
-    base = docs.orderBy("h", "doc_id").limit(4 * 5 * 50).withColumn("at", F.row_number().over(Window.orderBy("h", "doc_id")) - 1)
-    return want.join(F.broadcast(base), "at").select("attack_type", "goal", "k", "pos", "doc_id")
-
-
-@query
-def row_ids(spark, d):
-    s = B.samples(spark, d)
-    return corpus.row_ids(s, ["label", "attack_type"], ["sample_id"]).select("sample_id", "id")
-
-
-@query
-def synthetic_pairs(spark, d):
-    return corpus.synthetic_pairs(spark, 400)
-
-
-@query
-def seed_hash(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.seed_of(F.col("source")).alias("seed"))
-
-
-# --- spans ------------------------------------------------------------------------------------------------------
-
-
-def _prompts(spark: SparkSession, d: str, most: int = 300) -> DataFrame:
-    """Each document's start as the passage, clean and inserted in turn, with a question."""
-    kind = F.element_at(F.array(*map(F.lit, corpus.ATTACK_TYPES)), (F.floor(F.col("doc_id") / 2) % 4 + 1).cast("int"))
-    goal = F.element_at(F.array(*map(F.lit, corpus.GOALS.values())), (F.floor(F.col("doc_id") / 8) % 5 + 1).cast("int"))
-    base = B.pairs(spark, d).select("doc_id", text.truncate_words(F.col("passage"), most).alias("passage"), text.truncate_words(F.col("query"), 160).alias("query"), kind.alias("attack_type"), goal.alias("goal_text"))
-    made = corpus.inject(base)
-    odd = F.col("doc_id") % 2 == 1
-    back = made.withColumn("passage", F.when(odd, F.col("passage")).otherwise(F.expr("substring(passage, 1, injection_offset.start - CASE WHEN attack_type IN ('naive', 'fake') THEN 2 ELSE 1 END)")))
-    return back.withColumns({"injection_offset": F.when(odd, F.col("injection_offset")), "injection": F.when(odd, F.col("injection")).otherwise("")})
-
-
-@query
-def span_to_tokens(spark, d):
-    """Tokens between spaces that characters 20 to 60 of each document overlap."""
-    t = table(spark, d, "documents").select("doc_id", spans.word_span(F.col("text"), F.lit(20), F.lit(60)).alias("r"))
-    return t.select("doc_id", F.col("r.s").alias("tok_s"), F.col("r.e").alias("tok_e"))
-
-
-@query
-def prompt_spans(spark, d):
-    e = spans.encode(_prompts(spark, d), max_seq_len=120)
-    return e.select("doc_id", "n_tokens", *(F.col(f"{r}_tok.{x}").cast("long").alias(f"{r}_{x}") for r in "pqi" for x in "se"), "valid", "note")
-
-
-@query
-def tail_pseudo_span(spark, d):
-    e = spans.encode(_prompts(spark, d).where(F.col("doc_id") % 2 == 0), tail=8)
-    return e.select("doc_id", F.col("i_tok.s").cast("long").alias("i_s"), F.col("i_tok.e").cast("long").alias("i_e"))
-
-
-@query
-def containment_check(spark, d):
-    return B.pairs(spark, d).select("doc_id", F.round(text.containment(F.lower("query"), F.lower("passage")), 6).alias("share"))
-
-
-@query
-def token_gate(spark, d):
-    return spans.gate_summary(spans.gate(spans.encode(_prompts(spark, d))))
-
-
-def _encoded_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The prompts with as much of each passage as corpora keep, at the full length and tail."""
-    c = Config()
-    return spans.encode(_prompts(spark, d, c.clean_passage_max_chars), c.max_seq_len, c.tail_len)
-
-
-@query
-def prompt_spans_whole(spark, d):
-    e = _encoded_whole(spark, d)
-    return e.select("doc_id", "n_tokens", *(F.col(f"{r}_tok.{x}").cast("long").alias(f"{r}_{x}") for r in "pqi" for x in "se"), "valid", "note")
-
-
-@query
-def tail_pseudo_span_whole(spark, d):
-    e = _encoded_whole(spark, d).where(F.coalesce(F.length("injection"), F.lit(0)) == 0)
-    return e.select("doc_id", F.col("i_tok.s").cast("long").alias("i_s"), F.col("i_tok.e").cast("long").alias("i_e"))
-
-
-@query
-def token_gate_whole(spark, d):
-    return spans.gate_summary(spans.gate(_encoded_whole(spark, d)))
-
-
-@query
-def chat_prompt(spark, d):
-    """Each conversation as one prompt of role-tagged turns."""
-    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    return c.select("conv_id", F.md5(F.array_join(F.transform("t", lambda r: F.concat(F.lit("<"), r["role"], F.lit("> "), r["text"])), "\n")).alias("prompt_md5"))
-
-
-# --- signals ----------------------------------------------------------------------------------------------------
-
-
-@query
-def masses_json_roundtrip(spark, d):
-    """Masses as JSON objects by "layer|head" and back, in whole millionths."""
-    m = B.masses(spark, d).select("sample_id", F.concat_ws("|", "layer", "head").alias("k"), F.array(*(F.round(F.col(c) * 1e6).cast("long") for c in ("m_qp", "m_qi", "m_qq"))).alias("v"))
-    stored = m.groupBy("sample_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v"))))).alias("masses_json"))
-    back = stored.select("sample_id", F.explode(F.from_json("masses_json", "map<string,array<bigint>>")).alias("k", "v"))
-    at = F.split("k", "[|]")
-    return back.select("sample_id", at[0].cast("int").alias("layer"), at[1].cast("int").alias("head"), F.col("v")[0].alias("m_qp"), F.col("v")[1].alias("m_qi"), F.col("v")[2].alias("m_qq"))
-
-
-@query
-def layer_distinct(spark, d):
-    return B.masses(spark, d).select("layer").distinct()
-
-
-@query
-def centroid_clean(spark, d):
-    s = B.samples(spark, d).where("label = 0 and split = 'train'").select("sample_id")
-    h = B.hidden(spark, d).join(s, "sample_id", "left_semi")
-    c = calibrate.centroid(h, ["layer"])
-    return c.select("layer", F.posexplode("centroid").alias("pos", "x")).select("layer", "pos", F.round("x", 6).alias("x"))
-
-
-@query
-def cosine_to_centroid(spark, d):
-    s = B.samples(spark, d).where("label = 0 and split = 'train'").select("sample_id")
-    h = B.hidden(spark, d)
-    c = calibrate.centroid(h.join(s, "sample_id", "left_semi"), ["layer"])
-    return h.join(F.broadcast(c), "layer").select("sample_id", "layer", F.round(S.cosine(F.col("vec"), F.col("centroid")), 6).alias("cos"))
-
-
-def _probe(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    s = B.samples(spark, d).select("sample_id", "label", "split")
-    h = B.hidden(spark, d).join(s, "sample_id")
-    return h, calibrate.mean_difference_probe(h.where("split = 'train'"), ["layer"])
-
-
-@query
-def probe_score_fixed(spark, d):
-    few = B.specs(spark).where("name = 'general'").select(F.col("l_star").alias("layer"), "coef", "bias")
-    h = B.hidden(spark, d).where("layer = 1").join(F.broadcast(few), "layer")
-    return h.select("sample_id", F.round(S.probe_score(F.col("vec"), F.col("coef"), F.col("bias")), 6).alias("p"))
-
-
-@query
-def probe_meandiff_auroc(spark, d):
-    h, probe = _probe(spark, d)
-    s = h.where("split = 'val'").join(F.broadcast(probe), "layer").select("layer", "label", F.round(S.probe_score(F.col("vec"), F.col("coef"), F.col("bias")), 6).alias("score"))
-    return metrics.auroc(s, ["layer"]).select("layer", F.round("auroc", 6).alias("auroc"))
-
-
-@query
-def lstar_select(spark, d):
-    return probe_meandiff_auroc(spark, d).orderBy(F.col("auroc").desc(), "layer").limit(1)
-
-
-@query
-def probe_logreg(spark, d):
-    """Held-out AUROC of each layer's logistic probe."""
-    h, _ = _probe(spark, d)
-    rows = h.where("split <> 'test'").withColumn("fit", F.col("split") == "train")
-    return calibrate.logistic_probe(rows, ["layer"]).select("layer", F.round("auroc", 6).alias("auroc"), F.size("coef").alias("dims"))
-
-
 # --- fusion and thresholds --------------------------------------------------------------------------------------
 
 
