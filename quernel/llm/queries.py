@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import html_extract, media, minhash, mixing, packing, quality, sharding, substring, token_counts, topk, vector_codes
+from quernel.llm import html_extract, media, minhash, mixing, packing, prefix_trie, quality, sharding, substring, token_counts, topk, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct beginning of the rebuilt conversations as a node of a trie."""
+    return prefix_trie.conversation_nodes(table(spark, sf_dir, "conversations"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector as a code of 8 parts, each the nearest of 16 entries learned in 6 rounds."""
     return vector_codes.codes(table(spark, sf_dir, "embeddings"))
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_topk": op9_topk,
     "op10_quality": op10_quality,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_vector_codes": op13_vector_codes,
 }
-ORACLES: dict[str, str] = {"op5_mixing": mixing.ORACLE, "op8_minhash": minhash.ORACLE, "op9_topk": topk.ORACLE, "op13_vector_codes": vector_codes.ORACLE}
+ORACLES: dict[str, str] = {"op5_mixing": mixing.ORACLE, "op8_minhash": minhash.ORACLE, "op9_topk": topk.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE, "op13_vector_codes": vector_codes.ORACLE}
