@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import html_extract, media, minhash, mixing, packing, prefix_trie, quality, sharding, substring, token_counts, topk, vector_codes
+from quernel.llm import html_extract, media, minhash, mixing, packing, prefix_trie, quality, recurrent_lm, sharding, substring, token_counts, topk, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log probability by a recurrent model trained on six sevenths of them, beside a unigram base."""
+    return recurrent_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct beginning of the rebuilt conversations as a node of a trie."""
     return prefix_trie.conversation_nodes(table(spark, sf_dir, "conversations"))
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_topk": op9_topk,
     "op10_quality": op10_quality,
+    "op11_recurrent_lm": op11_recurrent_lm,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_vector_codes": op13_vector_codes,
 }
