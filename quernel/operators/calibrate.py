@@ -6,13 +6,12 @@ A detector is a row of numbers; that row is all that reaches the driver.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernel.functions import signals as S
 from quernel.operators import corpus, metrics
-from quernel.session import ship, written
+from quernel.operators.probes import logistic_probe
 
 GRID = 21  # weights 0, 0.05, ... 1
 
@@ -53,46 +52,6 @@ def mean_difference_probe(hidden: DataFrame, keys: list[str]) -> DataFrame:
     return g.select(*keys, w.alias("coef"), (-S.dot(w, c)).alias("bias"))
 
 
-def _newton(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 60) -> np.ndarray:
-    """Ridge logistic regression, free intercept last: minimizes w.w / 2 + c x log loss."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    ridge = np.append(np.ones(x.shape[1] - 1), 0)
-    w = np.zeros(x.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        h = c * (x.T * (p * (1 - p))) @ x + np.diag(ridge + 1e-10)
-        step = np.linalg.solve(h, c * x.T @ (y - p) - ridge * w)
-        w += step
-        if np.abs(step).max() < 1e-10:
-            break
-    return w
-
-
-def logistic_probe(hidden: DataFrame, keys: list[str], c: float = 1.0) -> DataFrame:
-    """Standardized ridge logistic regression for each group, fitted to a calibration sample and judged on all other rows.
-
-    hidden: keys, label, vec and fit (whether the row is fitted to: some hundred rows a group, as calibration_sample
-    gives them; only these are gathered). Gives coef, bias, mean, sd and the AUROC over the rows that are not fitted to
-    (over all, if there are none), which Spark scores where they lie."""
-    ship(hidden.sparkSession)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = np.stack(pdf["vec"].to_list()), pdf["label"].to_numpy(float)
-        mean, sd = x.mean(axis=0), x.std(axis=0)
-        sd[sd < 1e-12] = 1
-        w = _newton((x - mean) / sd, y, c) if len(np.unique(y)) == 2 else np.zeros(x.shape[1] + 1)
-        return pd.DataFrame([{k: pdf[k].iloc[0] for k in keys} | {"coef": w[:-1].tolist(), "bias": float(w[-1]), "mean": mean.tolist(), "sd": sd.tolist()}])
-
-    kinds = ", ".join(f"{k} {hidden.schema[k].dataType.simpleString()}" for k in keys)
-    fitted = hidden.where("fit").select(*keys, "label", "vec").groupBy(*keys).applyInPandas(fit, f"{kinds}, coef array<double>, bias double, mean array<double>, sd array<double>")
-    probe = written(fitted, "probe")
-    # one row a group; a group without other rows is judged on its own
-    rest = hidden.groupBy(*keys).agg(F.bool_and("fit").alias("alone"))
-    judged = hidden.join(F.broadcast(probe), keys).join(F.broadcast(rest), keys).where(~F.col("fit") | F.col("alone"))
-    scored = judged.select(*keys, "label", S.probe_score(F.col("vec"), F.col("coef"), F.col("bias"), F.col("mean"), F.col("sd")).alias("score"))
-    return probe.join(F.broadcast(metrics.auroc(scored, keys)), keys)
-
-
 def alpha_curve(df: DataFrame, keys: list[str], zr: str = "zr", zp: str = "zp", digits: int = 6) -> DataFrame:
     """AUROC of each fusion weight of the grid: keys, k, alpha, auroc."""
     grid = df.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(GRID - 1)))).withColumn("alpha", F.col("k") / (GRID - 1.0))

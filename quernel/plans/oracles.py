@@ -278,3 +278,31 @@ UNION ALL SELECT 3, 'unseen gap', abs(gap) FROM ({ORACLES['tableE_unseen']})
 UNION ALL SELECT 4, 'precision correlation', rho_mean FROM ({ORACLES['quant_summary']}))
 SELECT metric, actual, CASE WHEN CASE o WHEN 1 THEN actual > 0.03 WHEN 2 THEN actual < 0.5 WHEN 3 THEN actual <= 0.1 ELSE actual > 0.9 END THEN 'MET' ELSE 'NOT MET' END AS status FROM x""",
 }
+
+
+def _logistic(width: int = B.WIDTH, steps: int = 400) -> str:
+    """lw (layer, w): weights by steps of the inverse of the bound X'X / 4 + ridge of the Hessian, which is swept once."""
+    n = width + 1
+    out = f"""{ALL}, hs AS (SELECT h.*, s.label, s.split FROM h JOIN s USING (sample_id) WHERE split <> 'test'),
+lm AS (SELECT layer, list(m ORDER BY pos) AS m, list(CASE WHEN sd < 1e-12 THEN 1e0 ELSE sd END ORDER BY pos) AS sd FROM (
+  SELECT layer, pos, avg(x) AS m, stddev_pop(x) AS sd FROM (SELECT layer, generate_subscripts(vec, 1) AS pos, unnest(vec) AS x FROM hs) GROUP BY layer, pos) GROUP BY layer),
+lz AS MATERIALIZED (SELECT layer, label, split, [{", ".join(f"(vec[{i}] - m[{i}]) / sd[{i}]" for i in range(1, n))}, 1e0] AS z FROM hs JOIN lm USING (layer)),
+g0 AS MATERIALIZED (SELECT layer, CAST(i AS INT) AS i, CAST(j AS INT) AS j, sum(z[i] * z[j]) / 4 + CASE WHEN i = j AND i < {n} THEN 1e0 ELSE 0e0 END AS v FROM lz, range(1, {n + 1}) a(i), range(1, {n + 1}) b(j) WHERE split = 'train' GROUP BY layer, i, j)"""
+    for k in range(1, n + 1):
+        out += f""",
+g{k} AS MATERIALIZED (SELECT a.layer, a.i, a.j, CASE WHEN a.i = {k} AND a.j = {k} THEN 1 / p.v WHEN a.i = {k} THEN a.v / p.v WHEN a.j = {k} THEN -a.v / p.v ELSE a.v - c.v * r.v / p.v END AS v
+  FROM g{k - 1} a JOIN g{k - 1} p ON p.layer = a.layer AND p.i = {k} AND p.j = {k} JOIN g{k - 1} r ON r.layer = a.layer AND r.i = {k} AND r.j = a.j JOIN g{k - 1} c ON c.layer = a.layer AND c.i = a.i AND c.j = {k})"""
+    sums = ", ".join(f"sum(e * z[{i}])" + (f" - any_value(w)[{i}]" if i < n else "") for i in range(1, n + 1))
+    moved = ", ".join(f"w[{i}] + list_inner_product(l[{i}], g)" for i in range(1, n + 1))
+    return f"""WITH RECURSIVE {out.removeprefix("WITH ")},
+li AS MATERIALIZED (SELECT layer, list(l ORDER BY i) AS l FROM (SELECT layer, i, list(v ORDER BY j) AS l FROM g{n} GROUP BY layer, i) GROUP BY layer),
+it(t, layer, w) AS (SELECT 0, layer, list_transform(range({n}), lambda x: 0e0) FROM li
+  UNION ALL SELECT t + 1, layer, [{moved}] FROM (SELECT t, layer, any_value(w) AS w, [{sums}] AS g FROM (
+    SELECT it.t, layer, it.w, z, label - 1 / (1 + exp(-list_inner_product(z, it.w))) AS e FROM it JOIN lz USING (layer) WHERE split = 'train' AND t < {steps}) GROUP BY t, layer) JOIN li USING (layer)),
+lw AS (SELECT layer, w FROM it WHERE t = {steps})"""
+
+
+ORACLES |= {
+    "probe_logreg_weights": f"{_logistic()} SELECT layer, CAST(i - 1 AS INT) AS pos, round(w[i], 6) AS w FROM lw, range(1, {B.WIDTH + 2}) t(i)",
+    "probe_logreg": f"{_logistic()}, ls AS (SELECT layer, label, round(1 / (1 + exp(-list_inner_product(z, w))), 9) AS score FROM lz JOIN lw USING (layer) WHERE split = 'val') SELECT layer, round(auroc, 6) AS auroc, CAST({B.WIDTH} AS BIGINT) AS dims FROM {_auroc('ls', 'layer', 'score')}",
+}

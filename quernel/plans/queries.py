@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quernel.config import Config
 from quernel.functions import signals as S
 from quernel.functions import text
-from quernel.operators import calibrate, corpus, decide, metrics, spans
+from quernel.operators import calibrate, corpus, decide, metrics, probes, spans
 from quernel.plans import bridge as B
 from quernel.plans.bridge import table
 
@@ -343,13 +343,22 @@ def lstar_select(spark, d):
     return probe_meandiff_auroc(spark, d).orderBy(F.col("auroc").desc(), "layer").limit(1)
 
 
+def _logistic(spark: SparkSession, d: str) -> DataFrame:
+    h, _ = _probe(spark, d)
+    return probes.logistic_probe(h.where("split <> 'test'").withColumn("fit", F.col("split") == "train"), ["layer"])
+
+
 @query
 def probe_logreg(spark, d):
-    """AUROC of each layer's logistic probe, fitted to the calibration sample, over all other rows outside the test split."""
-    h, _ = _probe(spark, d)
-    few = corpus.calibration_sample(B.samples(spark, d), "sample_id", 80, 80, None).select("sample_id", F.lit(True).alias("fit"))
-    rows = h.where("split <> 'test'").join(F.broadcast(few), "sample_id", "left").withColumn("fit", F.coalesce("fit", F.lit(False)))
-    return calibrate.logistic_probe(rows, ["layer"]).select("layer", F.round("auroc", 6).alias("auroc"), F.size("coef").alias("dims"))
+    """AUROC over val rows of each layer's logistic probe, fitted to all training rows."""
+    return _logistic(spark, d).select("layer", F.round("auroc", 6).alias("auroc"), F.size("coef").cast("long").alias("dims"))
+
+
+@query
+def probe_logreg_weights(spark, d):
+    """The weights of each layer's logistic probe, the intercept last."""
+    w = F.concat("coef", F.array("bias"))
+    return _logistic(spark, d).select("layer", F.posexplode(w).alias("pos", "w")).select("layer", "pos", F.round("w", 6).alias("w"))
 
 
 # --- fusion and thresholds --------------------------------------------------------------------------------------
