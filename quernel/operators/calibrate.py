@@ -1,17 +1,21 @@
 """Calibration of detectors: head and layer choice, probes, fusion weights, thresholds.
 
-A detector is a row of numbers; that row is all that reaches the driver.
+A detector is a row of numbers; that row is all that reaches the driver. Detectors are calibrated together: which one a
+row belongs to is a grouping key like any other.
 """
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernel.functions import signals as S
-from quernel.operators import corpus, metrics
-from quernel.operators.probes import logistic_probe
+from quernel.operators import corpus, decide, metrics, probes
+from quernel.operators.decide import GENERAL
+from quernel.session import written
 
 GRID = 21  # weights 0, 0.05, ... 1
 
@@ -52,11 +56,12 @@ def mean_difference_probe(hidden: DataFrame, keys: list[str]) -> DataFrame:
     return g.select(*keys, w.alias("coef"), (-S.dot(w, c)).alias("bias"))
 
 
-def alpha_curve(df: DataFrame, keys: list[str], zr: str = "zr", zp: str = "zp", digits: int = 6) -> DataFrame:
-    """AUROC of each fusion weight of the grid: keys, k, alpha, auroc."""
-    grid = df.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(GRID - 1)))).withColumn("alpha", F.col("k") / (GRID - 1.0))
+def alpha_curve(df: DataFrame, keys: list[str], zr: str = "zr", zp: str = "zp", digits: int = 6, step: float = 1 / (GRID - 1)) -> DataFrame:
+    """AUROC of each fusion weight 0, step, ... 1: keys, k, alpha, auroc."""
+    last = round(1 / step)
+    grid = df.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(last)))).withColumn("alpha", F.col("k") / float(last))
     grid = grid.withColumn("score", F.round(S.fused(F.col("alpha"), F.col(zr), F.col(zp)), digits))
-    return metrics.auroc(grid, [*keys, "k"]).withColumn("alpha", F.col("k") / (GRID - 1.0))
+    return metrics.auroc(grid, [*keys, "k"]).withColumn("alpha", F.col("k") / float(last))
 
 
 def choose_alpha(curve: DataFrame, keys: list[str]) -> DataFrame:
@@ -65,35 +70,107 @@ def choose_alpha(curve: DataFrame, keys: list[str]) -> DataFrame:
     return curve.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.alpha", (-F.col("b.neg")).alias("auroc"))
 
 
-def calibrate(spark: SparkSession, name: str, samples: DataFrame, masses: DataFrame, widths: DataFrame, hidden: DataFrame, *, n_clean: int = 80, n_inj: int = 80, target_fpr: float = 0.05, seed: int = 42, spec_ord: int = 0, shared_head: tuple[int, int] | None = None, fit_share: float = 0.7) -> dict:
-    """One detector's row from the training rows: layer, probe, head, fusion weight and threshold.
-
-    name "general" pools all kinds. The layer is the one whose probe ranks held-out rows best, the lower on ties."""
-    kind = None if name == "general" else name
-    sample = corpus.calibration_sample(samples, "sample_id", n_clean, n_inj, kind, seed).select("sample_id", "label", "pick").cache()
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("pick", "sample_id"))
-    sizes = F.count("*").over(Window.partitionBy("label"))
-    marked = sample.withColumn("fit", rank <= F.floor(sizes * F.lit(fit_share)))
-    rows = hidden.join(F.broadcast(marked.select("sample_id", "label", "fit")), "sample_id")
-    probe = logistic_probe(rows, ["layer"]).orderBy(F.col("auroc").desc(), "layer").first()
-    at = hidden.where(F.col("layer") == probe["layer"]).join(F.broadcast(sample), "sample_id")
-    lit = lambda v: F.array(*map(F.lit, v))
-    p = at.select("sample_id", "label", S.probe_score(F.col("vec"), lit(probe["coef"]), F.lit(probe["bias"]), lit(probe["mean"]), lit(probe["sd"])).alias("p"))
-    ratios = head_ratios(sample, masses.join(F.broadcast(sample.select("sample_id")), "sample_id"), widths)
-    ranked = rank_heads(ratios).orderBy("rank").limit(5).collect()
-    head = shared_head or (ranked[0]["layer"], ranked[0]["head"])
-    both = p.join(ratios.where((F.col("layer") == head[0]) & (F.col("head") == head[1])).select("sample_id", "r"), "sample_id").cache()
-    m = both.agg(F.avg("r").alias("r_mu"), S.safe_sd(F.stddev_pop("r")).alias("r_sd"), F.avg("p").alias("p_mu"), S.safe_sd(F.stddev_pop("p")).alias("p_sd"), metrics.pearson(F.col("r"), F.col("p")).alias("rho")).first()
-    z = both.select("label", ((F.col("r") - m["r_mu"]) / m["r_sd"]).alias("zr"), ((F.col("p") - m["p_mu"]) / m["p_sd"]).alias("zp")).withColumn("g", F.lit(1))
-    a = choose_alpha(alpha_curve(z, ["g"]), ["g"]).first()
-    budget = target_fpr if kind is None else target_fpr / len(corpus.ATTACK_TYPES)
-    scored = z.withColumn("score", F.round(S.fused(F.lit(a["alpha"]), F.col("zr"), F.col("zp")), 9))
-    t = metrics.choose_theta(scored, [], F.lit(budget)).first()
-    scale = np.array(probe["sd"])
-    coef = np.array(probe["coef"]) / scale  # the standardization folded in
-    sample.unpersist()
-    both.unpersist()
-    return {"name": name, "spec_ord": spec_ord, "attack_type": kind, "layer": head[0], "head": head[1], "l_star": probe["layer"], "coef": coef.tolist(), "bias": float(probe["bias"] - coef @ np.array(probe["mean"])), "alpha": a["alpha"], **m.asDict(), "theta": t["theta"], "budget": budget, "auroc_fused": a["auroc"], "auroc_head": ranked[0]["auroc"], "auroc_probe": probe["auroc"]}
+@dataclass(frozen=True)
+class Detector:
+    """What one detector is calibrated to: kind None is all kinds, `without` one that is left out of them; shared takes the
+    pooled sample's best head instead of its own."""
+
+    name: str
+    spec_ord: int
+    kind: str | None = None
+    without: str | None = None
+    seed: int = 42
+    shared: bool = False
+    budget: float = 0.05
+
+
+def detectors(names: Sequence[str] = (*corpus.ATTACK_TYPES, GENERAL), seed: int = 42, target_fpr: float = 0.05) -> list[Detector]:
+    """One for each kind, with its share of the false positives, and the general one."""
+    of = lambda i, n: Detector(n, i, None, None, seed, True, target_fpr) if n == GENERAL else Detector(n, i, n, None, seed + 7, False, target_fpr / len(corpus.ATTACK_TYPES))
+    return [of(i, n) for i, n in enumerate(names)]
+
+
+def leave_one_out(seed: int = 42, target_fpr: float = 0.05) -> list[Detector]:
+    """The kinds' detectors, and for each kind a general one that never saw it."""
+    kinds = corpus.ATTACK_TYPES
+    return detectors(kinds, seed, target_fpr) + [Detector(f"{GENERAL}-{k}", len(kinds), None, k, seed + 31, True, target_fpr) for k in kinds]
+
+
+def calibration_rows(samples: DataFrame, wanted: Sequence[Detector], n_clean: int, n_inj: int, fit_share: float) -> DataFrame:
+    """name, sample_id, label and fit of every detector's training rows: at most n_clean clean and n_inj inserted ones, of
+    its kind or evenly of all, in a hashed order; the first fit_share of each class are fitted to."""
+    every = F.array(*(F.struct(F.lit(d.name).alias("name"), F.lit(d.kind).cast("string").alias("kind"), F.lit(d.without).cast("string").alias("without"), F.lit(d.seed).alias("seed")) for d in wanted))
+    clean = F.col("label") == 0
+    applies = lambda d: clean | ((d["kind"].isNull() | (d["kind"] == F.col("attack_type"))) & ~F.coalesce(d["without"] == F.col("attack_type"), F.lit(False)))
+    rows = samples.where("split = 'train'").select("sample_id", "label", "attack_type", F.explode(F.filter(every, applies)).alias("d")).select("sample_id", "label", "attack_type", "d.*")
+    order = (F.md5(F.concat("sample_id", F.lit("|"), F.col("seed").cast("string"))), "sample_id")
+    pick = F.row_number().over(Window.partitionBy("name", "label", F.when(~clean, F.col("attack_type"))).orderBy(*order))
+    most = F.when(clean, n_clean).when(F.col("kind").isNull(), max(1, n_inj // len(corpus.ATTACK_TYPES))).otherwise(n_inj)
+    few = rows.withColumn("pick", pick).where((F.col("pick") <= max(n_clean, n_inj)) & (F.col("pick") <= most))
+    by = Window.partitionBy("name", "label")  # a calibration sample's class: bounded
+    return few.select("name", "sample_id", "label", (F.row_number().over(by.orderBy("pick", "sample_id")) <= F.floor(F.count("*").over(by) * F.lit(fit_share))).alias("fit"))
+
+
+def calibrated(samples: DataFrame, masses: DataFrame, widths: DataFrame, hidden: DataFrame, wanted: Sequence[Detector], *, n_clean: int = 80, n_inj: int = 80, n_shared: int = 80, seed: int = 42, fit_share: float = 0.7, alpha_step: float = 0.05, top_k: int = 5, eps: float = 1e-6, probe: str = "logistic") -> DataFrame:
+    """One row a detector, all of them in one plan: detector and layer (or head) are grouping keys throughout.
+
+    The layer is the one whose probe ranks rows that it isn't fitted to best; then come the clean rows' mean vector there
+    (h_base) and how well distance from it alone ranks (auroc_cos), the head, the fusion weight and the threshold
+    within the budget. Lower layers, heads and weights win ties. The rows that take part are bounded by the sample's
+    sizes, whatever the corpus."""
+    if probe not in ("logistic", "mean difference"):
+        raise ValueError(f"unknown probe {probe}")
+    spark = samples.sparkSession
+    rows = written(calibration_rows(samples, wanted, n_clean, n_inj, fit_share), "calibration")
+    hid = written(hidden.join(F.broadcast(rows), "sample_id").select("name", "layer", "sample_id", "label", "fit", F.col("vec").cast("array<double>").alias("vec")), "calibration-hidden")
+    keys = ["name", "layer"]
+    probes_ = (probes.logistic_probe(hid, keys) if probe == "logistic" else probes.mean_difference_probe(hid, keys)).select(*keys, "coef", "bias", "mean", "sd")
+    probes_ = written(probes_, "calibration-probes")
+    p = F.round(S.probe_score(F.col("vec"), F.col("coef"), F.col("bias"), F.col("mean"), F.col("sd")), 9)
+    scored = hid.join(F.broadcast(probes_), keys).select(*keys, "sample_id", "label", "fit", "vec", p.alias("p"))
+    few = rows.groupBy("name").agg((F.count_if(~F.col("fit")) < 2).alias("all_"))
+    judged = scored.join(F.broadcast(few), "name").where(F.col("all_") | ~F.col("fit")).select(*keys, "label", F.col("p").alias("score"))
+    first = lambda df, score, *what: df.groupBy("name").agg(F.min(F.struct((-F.round(score, 9)).alias("neg"), *what)).alias("b"))
+    l_star = first(metrics.auroc(judged, keys), "auroc", "layer").select("name", F.col("b.layer").alias("layer"), (-F.col("b.neg")).alias("auroc_probe"))
+    l_star = written(l_star.join(F.broadcast(probes_), keys), "calibration-layers")
+    own = scored.join(F.broadcast(l_star.select(*keys)), keys)
+    base = centroid(own.where("label = 0"), ["name"]).withColumnRenamed("centroid", "h_base")
+    far = own.join(F.broadcast(base), "name", "left").select("name", "sample_id", "label", "p", F.coalesce(F.round(-S.cosine(F.col("vec"), F.col("h_base")), 9), F.lit(0.0)).alias("far"))
+
+    pooled = [Detector("shared", 0, seed=seed)]
+    shared_rows = calibration_rows(samples, pooled, n_shared, n_shared, fit_share).select("name", "sample_id", "label")
+    every = written(rows.select("name", "sample_id", "label").unionByName(shared_rows), "calibration-all")
+    r = F.round(S.head_ratio(F.col("m_qp"), F.col("m_qi"), F.col("w_p"), F.col("w_i"), eps), 6)
+    ratios = masses.join(widths, "sample_id").join(F.broadcast(every), "sample_id").select("name", "sample_id", "label", "layer", "head", r.alias("r"))
+    ratios = written(ratios, "calibration-ratios")
+    heads = metrics.auroc(ratios, ["name", "layer", "head"], "r").select("name", F.struct((-F.round("auroc", 9)).alias("neg"), "layer", "head").alias("h"))
+    ranked = heads.groupBy("name").agg(F.slice(F.array_sort(F.collect_list("h")), 1, top_k).alias("top"))  # as many as there are heads
+    ranked = written(ranked.select("name", F.transform("top", lambda h: F.struct(h["layer"].alias("layer"), h["head"].alias("head"), (-h["neg"]).alias("auroc"))).alias("top")), "calibration-heads")
+    best = ranked.where("name = 'shared'").select(F.col("top")[0].alias("common"))
+    what = spark.createDataFrame([(d.name, d.spec_ord, d.kind, d.without, d.shared, float(d.budget)) for d in wanted], "name string, spec_ord int, attack_type string, without string, shared boolean, budget double")
+    chosen = what.join(F.broadcast(ranked), "name").join(F.broadcast(best)).select("*", F.when(F.col("shared"), F.col("common")).otherwise(F.col("top")[0]).alias("at"))
+    chosen = written(chosen, "calibration-chosen")
+    at = lambda column, name: ratios.join(F.broadcast(chosen.select("name", F.col(f"{column}.layer").alias("layer"), F.col(f"{column}.head").alias("head"))), ["name", "layer", "head"]).select("name", "sample_id", F.col("r").alias(name))
+    both = written(far.join(at("at", "r"), ["name", "sample_id"]).join(at("common", "r_shared"), ["name", "sample_id"]), "calibration-scores")
+
+    m = both.groupBy("name").agg(F.avg("r").alias("r_mu"), S.safe_sd(F.stddev_pop("r")).alias("r_sd"), F.avg("p").alias("p_mu"), S.safe_sd(F.stddev_pop("p")).alias("p_sd"), metrics.pearson(F.col("r"), F.col("p")).alias("rho"), F.count_if(F.col("label") == 0).alias("n_clean"), F.count_if(F.col("label") == 1).alias("n_inj"))
+    m = written(m, "calibration-moments")
+    z = both.join(F.broadcast(m), "name").select("name", "label", F.round((F.col("r") - F.col("r_mu")) / F.col("r_sd"), 9).alias("zr"), F.round((F.col("p") - F.col("p_mu")) / F.col("p_sd"), 9).alias("zp"))
+    alpha = choose_alpha(alpha_curve(z, ["name"], step=alpha_step), ["name"]).withColumnRenamed("auroc", "auroc_fused")
+    alpha = written(alpha, "calibration-alphas")
+    fused = z.join(F.broadcast(alpha), "name").join(F.broadcast(what.select("name", "budget")), "name").withColumn("score", F.round(S.fused(F.col("alpha"), F.col("zr"), F.col("zp")), 6))
+    theta = metrics.choose_theta(fused, ["name", "budget"], F.col("budget")).select("name", "theta")
+    half = F.explode(F.array(*(F.struct(F.lit(n).alias("half"), F.col(c).alias("x")) for n, c in (("auroc_head", "r"), ("auroc_shared", "r_shared"), ("auroc_hid", "p"), ("auroc_cos", "far")))))
+    halves = metrics.auroc(both.select("name", "label", half.alias("h")).select("name", "label", "h.*"), ["name", "half"], "x")
+    halves = halves.groupBy("name").pivot("half", ["auroc_head", "auroc_shared", "auroc_hid", "auroc_cos"]).agg(F.first("auroc"))
+    # one row a detector on every side from here on
+    out = chosen.join(l_star.withColumnRenamed("layer", "l_star"), "name").join(base, "name", "left").join(m, "name").join(alpha, "name").join(theta, "name").join(halves, "name")
+    scaled = F.zip_with("coef", "sd", lambda w, s: w / s)
+    return out.select(
+        "name", "spec_ord", "attack_type", "without", F.col("at.layer").alias("layer"), F.col("at.head").alias("head"), F.col("common.layer").alias("layer_shared"), F.col("common.head").alias("head_shared"), F.col("top").alias("top_k"),
+        "l_star", scaled.alias("coef"), (F.col("bias") - S.dot(scaled, F.col("mean"))).alias("bias"), "h_base",
+        "alpha", "r_mu", "r_sd", "p_mu", "p_sd", "theta", "budget", "auroc_probe", "auroc_head", "auroc_shared", "auroc_hid", "auroc_fused", "auroc_cos", "rho", "n_clean", "n_inj",
+    )
 
 
 SPEC_SCHEMA = "name string, spec_ord int, attack_type string, layer int, head int, l_star int, coef array<double>, bias double, alpha double, r_mu double, r_sd double, p_mu double, p_sd double, theta double"
@@ -104,15 +181,28 @@ def specs_table(spark: SparkSession, specs: list[dict]) -> DataFrame:
     return spark.createDataFrame([tuple(s[n] for n in names) for s in specs], SPEC_SCHEMA)
 
 
-def calibrate_all(spark: SparkSession, samples: DataFrame, masses: DataFrame, widths: DataFrame, hidden: DataFrame, names: tuple[str, ...] = (*corpus.ATTACK_TYPES, "general"), **how) -> list[dict]:
-    """All detectors; the general one takes the head that ranks best over all kinds."""
-    out = []
-    for i, n in enumerate(names):
-        out.append(calibrate(spark, n, samples, masses, widths, hidden, seed=how.get("seed", 42) + (0 if n == "general" else 7), spec_ord=i, **{k: v for k, v in how.items() if k != "seed"}))
-    return out
+def calibrate_all(spark: SparkSession, samples: DataFrame, masses: DataFrame, widths: DataFrame, hidden: DataFrame, names: Sequence[str] = (*corpus.ATTACK_TYPES, GENERAL), *, seed: int = 42, target_fpr: float = 0.05, **how) -> list[dict]:
+    """The named detectors' rows on the driver, a few numbers each, in order; kept as plain values."""
+    rows = calibrated(samples, masses, widths, hidden, detectors(names, seed, target_fpr), seed=seed, **how).orderBy("spec_ord").collect()
+    return [r.asDict(recursive=True) for r in rows]
 
 
-def calibrate_without(spark: SparkSession, excluded: str, samples: DataFrame, masses: DataFrame, widths: DataFrame, hidden: DataFrame, **how) -> dict:
+def calibrate_without(spark: SparkSession, excluded: str, samples: DataFrame, masses: DataFrame, widths: DataFrame, hidden: DataFrame, *, seed: int = 42, target_fpr: float = 0.05, **how) -> dict:
     """The general detector calibrated without one kind, to see how it does on what it never saw."""
-    rest = samples.where(~F.col("attack_type").eqNullSafe(excluded))
-    return calibrate(spark, "general", rest, masses, widths, hidden, seed=how.pop("seed", 42) + 31, spec_ord=4, **how)
+    one = [d for d in leave_one_out(seed, target_fpr) if d.without == excluded]
+    return calibrated(samples, masses, widths, hidden, one, seed=seed, **how).first().asDict(recursive=True) | {"name": GENERAL}
+
+
+def unseen_kinds(samples: DataFrame, masses: DataFrame, widths: DataFrame, hidden: DataFrame, specs: DataFrame, eps: float = 1e-6) -> DataFrame:
+    """For each kind left out: its ASR and detection by the other kinds' detectors and the general one that never saw it,
+    the mean ASR of the others, and their gap. specs: the rows of leave_one_out()."""
+    scores = decide.spec_scores(samples, masses, widths, hidden, specs, eps, digits=6)
+    of = F.broadcast(specs.select("name", F.col("without").alias("_out"), F.col("attack_type").alias("_own")))
+    kinds = F.array(*map(F.lit, corpus.ATTACK_TYPES))
+    turns = F.when(F.col("_out").isNotNull(), F.array("_out")).otherwise(F.filter(kinds, lambda k: k != F.col("_own")))
+    each = scores.join(of, "name").withColumn("name", F.when(F.col("_out").isNotNull(), GENERAL).otherwise(F.col("name"))).withColumn("without", F.explode(turns))
+    d = F.count_if("decision") / F.greatest(F.count("*"), F.lit(1))
+    by = decide.decisions(each).where("label = 1").groupBy("without", "attack_type").agg(d.alias("detection"))
+    own, asr = F.col("without") == F.col("attack_type"), 1.0 - F.col("detection")
+    out = by.groupBy("without").agg(F.max(F.when(own, asr)).alias("asr_unseen"), F.max(F.when(own, F.col("detection"))).alias("detection_unseen"), F.avg(F.when(~own, asr)).alias("mean_asr_seen"))
+    return out.withColumn("gap", F.col("asr_unseen") - F.col("mean_asr_seen")).withColumn("within", F.abs("gap") <= 0.1)

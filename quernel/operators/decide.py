@@ -30,11 +30,11 @@ def spec_scores(samples: DataFrame, masses: DataFrame, widths: DataFrame, hidden
 
 
 def decisions(scores: DataFrame, mode: str = "per_spec", global_theta: float | None = None) -> DataFrame:
-    """One row per sample: scores, decision, attribution, fired, s_max and margin.
+    """One row per sample (and set of detectors, if `without` tells sets apart): scores, decision, attribution, fired, s_max and margin.
 
     per_spec: any kind's detector over its threshold decides, the highest of those attributes; else the general one
     may. global_max: the highest of all scores against one threshold. Ties go to the detector that comes first."""
-    kept = [c for c in ("sample_id", "attack_type", "label", "split") if c in scores.columns]
+    kept = [c for c in ("sample_id", "attack_type", "label", "split", "without") if c in scores.columns]
     one = F.struct((-F.col("s")).alias("neg"), F.col("spec_ord").alias("o"), F.col("name").alias("name"), F.col("theta").alias("theta"))
     g = scores.groupBy(*kept).agg(F.array_sort(F.collect_list(one)).alias("x"))  # as many as there are detectors
     kind = F.filter("x", lambda r: r["name"] != GENERAL)

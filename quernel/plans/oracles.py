@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernel.operators import corpus
+from quernel.operators import calibrate, corpus
 from quernel.operators.calibrate import GRID
 from quernel.plans import bridge as B
 
@@ -306,3 +306,59 @@ ORACLES |= {
     "probe_logreg_weights": f"{_logistic()} SELECT layer, CAST(i - 1 AS INT) AS pos, round(w[i], 6) AS w FROM lw, range(1, {B.WIDTH + 2}) t(i)",
     "probe_logreg": f"{_logistic()}, ls AS (SELECT layer, label, round(1 / (1 + exp(-list_inner_product(z, w))), 9) AS score FROM lz JOIN lw USING (layer) WHERE split = 'val') SELECT layer, round(auroc, 6) AS auroc, CAST({B.WIDTH} AS BIGINT) AS dims FROM {_auroc('ls', 'layer', 'score')}",
 }
+
+
+def _calibrated(wanted: list[calibrate.Detector], n: int = 80) -> str:
+    """cal: one row a detector by a mean-difference probe. All detectors go through the same steps."""
+    size, kinds = B.WIDTH, len(corpus.ATTACK_TYPES)
+    kind = lambda k: "NULL" if k is None else _text(k)
+    rows = ", ".join(f"({_text(d.name)}, {d.spec_ord}, {kind(d.kind)}, {kind(d.without)}, {d.seed}, {d.shared}, {d.budget!r}e0)" for d in [*wanted, calibrate.Detector("shared", -1)])
+    z = "[" + ", ".join(f"(vec[{i}] - m[{i}]) / sd[{i}]" for i in range(1, size + 1)) + "]"
+    ip = "list_inner_product"
+    return f"""{ALL}, d AS (SELECT * FROM (VALUES {rows}) t(name, spec_ord, kind, without, seed, shared, budget)),
+c1 AS (SELECT d.name, sample_id, label, d.kind, row_number() OVER (PARTITION BY d.name, label, CASE WHEN label = 1 THEN attack_type END ORDER BY md5(sample_id || '|' || seed), sample_id) AS pick
+  FROM s, d WHERE split = 'train' AND (label = 0 OR ((d.kind IS NULL OR d.kind = attack_type) AND coalesce(d.without <> attack_type, true)))),
+c2 AS MATERIALIZED (SELECT name, sample_id, label, row_number() OVER (PARTITION BY name, label ORDER BY pick, sample_id) <= floor(count(*) OVER (PARTITION BY name, label) * 0.7e0) AS fit FROM c1
+  WHERE pick <= CASE WHEN label = 0 THEN {n} WHEN kind IS NULL THEN {n // kinds} ELSE {n} END),
+ch AS MATERIALIZED (SELECT name, layer, sample_id, label, fit, vec FROM c2 JOIN h USING (sample_id) WHERE name <> 'shared'),
+cw AS (SELECT name, layer, pos, avg(x) AS m, CASE WHEN stddev_pop(x) < 1e-12 THEN 1e0 ELSE stddev_pop(x) END AS sd, avg(x) FILTER (WHERE fit AND label = 1) AS a, avg(x) FILTER (WHERE fit AND label = 0) AS b
+  FROM (SELECT name, layer, label, fit, generate_subscripts(vec, 1) AS pos, unnest(vec) AS x FROM ch) GROUP BY name, layer, pos),
+cp AS MATERIALIZED (SELECT name, layer, list(m ORDER BY pos) AS m, list(sd ORDER BY pos) AS sd, list(coalesce((a - b) / sd, 0e0) ORDER BY pos) AS w, -sum(coalesce((a - b) / sd, 0e0) * coalesce(((a + b) / 2 - m) / sd, 0e0)) AS bias FROM cw GROUP BY name, layer),
+cs AS MATERIALIZED (SELECT name, layer, sample_id, label, fit, vec, round(1 / (1 + exp(-(bias + {ip}({z}, w)))), 9) AS p FROM ch JOIN cp USING (name, layer)),
+ce0 AS (SELECT * FROM cs JOIN (SELECT name, count(*) FILTER (WHERE NOT fit) < 2 AS every FROM c2 GROUP BY name) USING (name) WHERE every OR NOT fit),
+cl AS MATERIALIZED (SELECT name, layer, auroc FROM {_auroc('ce0', 'name, layer', 'p')} QUALIFY row_number() OVER (PARTITION BY name ORDER BY round(auroc, 9) DESC, layer) = 1),
+co AS MATERIALIZED (SELECT cs.* FROM cs JOIN cl USING (name, layer)),
+cb AS MATERIALIZED (SELECT name, list(x ORDER BY pos) AS h_base FROM (SELECT name, pos, avg(x) AS x FROM (SELECT name, generate_subscripts(vec, 1) AS pos, unnest(vec) AS x FROM co WHERE label = 0) GROUP BY name, pos) GROUP BY name),
+cr AS MATERIALIZED (SELECT c2.name, c2.sample_id, c2.label, r.layer, r.head, r.r FROM c2 JOIN r USING (sample_id)),
+cq AS MATERIALIZED (SELECT name, layer, head, row_number() OVER (PARTITION BY name ORDER BY round(auroc, 9) DESC, layer, head) AS rank FROM {_auroc('cr', 'name, layer, head', 'r')}),
+cc AS MATERIALIZED (SELECT d.*, CASE WHEN d.shared THEN g.layer ELSE o.layer END AS layer, CASE WHEN d.shared THEN g.head ELSE o.head END AS head, g.layer AS layer_shared, g.head AS head_shared, o2.layer AS second_layer, o2.head AS second_head
+  FROM d JOIN cq o ON o.name = d.name AND o.rank = 1 JOIN cq o2 ON o2.name = d.name AND o2.rank = 2 JOIN cq g ON g.name = 'shared' AND g.rank = 1 WHERE d.name <> 'shared'),
+cz AS MATERIALIZED (SELECT co.name, co.sample_id, co.label, co.p, a.r, b.r AS r_shared, coalesce(round(-{ip}(vec, h_base) / (sqrt({ip}(vec, vec)) * sqrt({ip}(h_base, h_base)) + 1e-12), 9), 0e0) AS far
+  FROM co JOIN cc USING (name) LEFT JOIN cb USING (name) JOIN cr a ON a.name = co.name AND a.sample_id = co.sample_id AND a.layer = cc.layer AND a.head = cc.head
+  JOIN cr b ON b.name = co.name AND b.sample_id = co.sample_id AND b.layer = cc.layer_shared AND b.head = cc.head_shared),
+cm AS MATERIALIZED (SELECT name, avg(r) AS r_mu, CASE WHEN stddev_pop(r) < 1e-12 THEN 1e0 ELSE stddev_pop(r) END AS r_sd, avg(p) AS p_mu, CASE WHEN stddev_pop(p) < 1e-12 THEN 1e0 ELSE stddev_pop(p) END AS p_sd,
+  {PEARSON.format(a='r', b='p')} AS rho, count(*) FILTER (WHERE label = 0) AS n_clean, count(*) FILTER (WHERE label = 1) AS n_inj FROM cz GROUP BY name),
+cy AS MATERIALIZED (SELECT name, label, round((r - r_mu) / r_sd, 9) AS zr, round((p - p_mu) / p_sd, 9) AS zp FROM cz JOIN cm USING (name)),
+cg AS (SELECT name, label, k, round((k / 20.0e0) * zr + (1 - k / 20.0e0) * zp, 6) AS score FROM cy, range(21) t(k)),
+ct AS MATERIALIZED (SELECT name, k / 20.0e0 AS alpha, auroc AS auroc_fused FROM {_auroc('cg', 'name, k', 'score')} QUALIFY row_number() OVER (PARTITION BY name ORDER BY round(auroc, 9) DESC, k) = 1),
+cu AS (SELECT cy.name, cc.budget, cy.label, round(alpha * zr + (1 - alpha) * zp, 6) AS score FROM cy JOIN ct USING (name) JOIN cc USING (name)),
+cv AS MATERIALIZED {_theta('cu', 'name, budget', 'budget', 'score')},
+ck AS (SELECT name, label, unnest(['head', 'shared', 'hid', 'cos']) AS half, unnest([r, r_shared, p, far]) AS x FROM cz),
+cj AS MATERIALIZED (SELECT * FROM {_auroc('ck', 'name, half', 'x')}),
+cal AS MATERIALIZED (SELECT cc.*, cl.layer AS l_star, cl.auroc AS auroc_probe, list_transform(range(1, {size + 1}), lambda i: w[i] / sd[i]) AS coef, bias - {ip}(list_transform(range(1, {size + 1}), lambda i: w[i] / sd[i]), m) AS bias, h_base, alpha, auroc_fused, theta, r_mu, r_sd, p_mu, p_sd, rho, n_clean, n_inj,
+  {", ".join(f"(SELECT auroc FROM cj WHERE cj.name = cc.name AND half = '{x}') AS auroc_{x}" for x in ("head", "shared", "hid", "cos"))}
+  FROM cc JOIN cl USING (name) JOIN cp ON cp.name = cc.name AND cp.layer = cl.layer LEFT JOIN cb ON cb.name = cc.name JOIN cm ON cm.name = cc.name JOIN ct ON ct.name = cc.name JOIN cv ON cv.name = cc.name)"""
+
+
+ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in ("alpha", "r_mu", "r_sd", "p_mu", "p_sd", "theta", "budget", "auroc_probe", "auroc_head", "auroc_shared", "auroc_hid", "auroc_fused", "auroc_cos", "rho", "bias"))
+ORACLES |= {
+    "calibrated_specs": f"""{_calibrated(calibrate.detectors())} SELECT name, {", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in ("layer", "head", "layer_shared", "head_shared", "l_star", "second_layer", "second_head"))}, n_clean, n_inj, {ROUNDED},
+  round(sqrt(list_inner_product(coef, coef)), 6) AS coef_norm, round(sqrt(list_inner_product(h_base, h_base)), 6) AS h_base_norm FROM cal""",
+    "tableE_recalibrated": f"""{_calibrated(calibrate.leave_one_out())},
+ts AS (SELECT c.name, c.without, c.kind, c.theta, s.sample_id, s.attack_type, s.label, round(alpha * (({RATIO} - r_mu) / greatest(r_sd, 1e-12)) + (1 - alpha) * ((1 / (1 + exp(-(bias + list_inner_product(vec, coef)))) - p_mu) / greatest(p_sd, 1e-12)), 6) AS score
+  FROM cal c JOIN m ON m.layer = c.layer AND m.head = c.head JOIN w USING (sample_id) JOIN s USING (sample_id) JOIN h ON h.sample_id = m.sample_id AND h.layer = c.l_star WHERE split = 'test' AND label = 1),
+tu AS (SELECT u, attack_type, sample_id, bool_or(score > theta) AS decision FROM ts, (SELECT unnest([{KINDS}]) AS u) WHERE ts.without = u OR (ts.without IS NULL AND ts.kind <> u) GROUP BY ALL),
+tv AS (SELECT u, attack_type, count(*) FILTER (WHERE decision) / count(*) AS detection FROM tu GROUP BY ALL),
+tw AS (SELECT u AS without, max(1 - detection) FILTER (WHERE attack_type = u) AS a, max(detection) FILTER (WHERE attack_type = u) AS b, avg(1 - detection) FILTER (WHERE attack_type <> u) AS c FROM tv GROUP BY u)
+SELECT without, round(a, 6) AS asr_unseen, round(b, 6) AS detection_unseen, round(c, 6) AS mean_asr_seen, round(a - c, 6) AS gap, abs(a - c) <= 0.1 AS "within" FROM tw""",
+}

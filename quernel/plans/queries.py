@@ -13,6 +13,7 @@ from quernel.functions import text
 from quernel.operators import calibrate, corpus, decide, metrics, probes, spans
 from quernel.plans import bridge as B
 from quernel.plans.bridge import table
+from quernel.session import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -618,6 +619,29 @@ def tableE_unseen(spark, d):
     return _rounded(out.withColumn("within", F.abs("gap") <= 0.1), "asr_unseen", "mean_asr_seen", "gap")
 
 
+def _signals(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    return B.samples(spark, d), B.masses(spark, d), B.widths(spark, d), B.hidden(spark, d)
+
+
+@query
+def calibrated_specs(spark, d):
+    """All detectors calibrated in one plan, with a mean-difference probe."""
+    c = calibrate.calibrated(*_signals(spark, d), calibrate.detectors(), probe="mean difference")
+    norm = lambda v: F.sqrt(S.dot(F.col(v), F.col(v)))
+    whole = ("layer", "head", "layer_shared", "head_shared", "l_star")
+    parts = ("alpha", "r_mu", "r_sd", "p_mu", "p_sd", "theta", "budget", "auroc_probe", "auroc_head", "auroc_shared", "auroc_hid", "auroc_fused", "auroc_cos", "rho")
+    return c.select("name", *(F.col(w).cast("long").alias(w) for w in whole), "n_clean", "n_inj", *(F.round(p, 6).alias(p) for p in parts), F.round("bias", 6).alias("bias"), F.round(norm("coef"), 6).alias("coef_norm"), F.round(norm("h_base"), 6).alias("h_base_norm"), F.element_at("top_k", 2)["layer"].cast("long").alias("second_layer"), F.element_at("top_k", 2)["head"].cast("long").alias("second_head"))
+
+
+@query
+def tableE_recalibrated(spark, d):
+    """Each kind left out in turn: the other kinds' detectors and a general one recalibrated without it, on test rows."""
+    s, *signals = _signals(spark, d)
+    specs = calibrate.calibrated(s, *signals, calibrate.leave_one_out(), probe="mean difference")
+    out = calibrate.unseen_kinds(s.where("split = 'test'").select("sample_id", "attack_type", "label", "split"), *signals, written(specs, "unseen-specs"))
+    return _rounded(out, "asr_unseen", "detection_unseen", "mean_asr_seen", "gap")
+
+
 @query
 def pearson_matrix(spark, d):
     s = _scores(spark, d, "split = 'val'").where("name <> 'general'")
