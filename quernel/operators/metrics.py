@@ -92,6 +92,48 @@ def pearson(a: Column, b: Column) -> Column:
     return F.when(flat, F.lit(0.0)).otherwise(F.covar_pop(a, b) / F.when(flat, F.lit(1.0)).otherwise(spread))
 
 
+def _share(x: Column, lo: Column, hi: Column) -> Column:
+    """Where x lies between lo and hi, 0 to 1: by logarithm if both have one sign and magnitudes far apart, else evenly."""
+    even = F.try_divide(x / 2 - lo / 2, hi / 2 - lo / 2)  # halved, so that no difference is infinite
+    log = lambda c: F.ln(F.greatest(c, F.lit(5e-324)))
+    up = (log(x) - log(lo)) / F.greatest(log(hi) - log(lo), F.lit(1e-9))
+    down = 1 - (log(-x) - log(-hi)) / F.greatest(log(-lo) - log(-hi), F.lit(1e-9))
+    far = F.lit(1e6)
+    return F.coalesce(F.when((lo > 0) & (hi / far > lo), up).when((hi < 0) & (lo / far < hi), down).otherwise(even), (x > lo).cast("double"))
+
+
+def median(df: DataFrame, keys: list[str], value: str, name: str = "median", bins: int = 1024, few: int = 4096) -> DataFrame:
+    """The exact median of each group (the mean of the middle two), whatever its size; nulls and NaN don't count.
+
+    Selection by rank: a pass counts bins between a group's least and greatest value, the middle ranks' bins become the
+    new bounds, and when at most `few` values lie between a group's, these are sorted. No task holds a group or its
+    distinct values; bounds lie in a table, a row a group and rank, that is joined like any other."""
+    x = F.col(value).cast("double")
+    rows = df.select(*keys, x.alias("_x")).where(x.isNotNull() & ~F.isnan(x))
+    rows, keys_ = _keyed(rows, keys)
+    sizes = rows.groupBy(*keys_).agg(F.count("*").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    half = F.floor((F.col("_n") - 1) / 2).cast("long")
+    ranks = F.array(F.struct(F.lit(0).alias("i"), half.alias("r")), F.struct(F.lit(1).alias("i"), (F.col("_n") - 1 - half).alias("r")))
+    # i: which of the middle two; _r: its rank from 0 among the _n values from _lo to _hi
+    open_ = written(sizes.withColumn("_i", F.explode(ranks)).select(*keys_, F.col("_i.i").alias("_i"), F.col("_i.r").alias("_r"), "_n", "_lo", "_hi"), "median-bounds")
+    while open_.where((F.col("_n") > few) & (F.col("_lo") < F.col("_hi"))).limit(1).count():
+        wide = (F.col("_n") > few) & (F.col("_lo") < F.col("_hi"))
+        inside = rows.join(open_.where(wide), keys_).where(F.col("_x").between(F.col("_lo"), F.col("_hi")))
+        at = F.least(F.floor(_share(F.col("_x"), F.col("_lo"), F.col("_hi")) * bins), F.lit(bins - 1)).cast("int")
+        counted = inside.groupBy(*keys_, "_i", "_r", at.alias("_b")).agg(F.count("*").alias("_c"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+        before = Window.partitionBy(*keys_, "_i").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # `bins` rows
+        counted = counted.withColumn("_s", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+        hit = counted.where((F.col("_r") >= F.col("_s")) & (F.col("_r") < F.col("_s") + F.col("_c")))
+        hit = hit.select(*keys_, "_i", (F.col("_r") - F.col("_s")).alias("_r"), F.col("_c").alias("_n"), "_lo", "_hi")
+        open_ = written(open_.where(~wide).unionByName(hit), "median-bounds")
+    done = open_.where(F.col("_lo") == F.col("_hi")).select(*keys_, "_i", F.col("_lo").alias("_v"))
+    last = rows.join(open_.where(F.col("_lo") < F.col("_hi")), keys_).where(F.col("_x").between(F.col("_lo"), F.col("_hi")))
+    last = last.groupBy(*keys_, "_i", "_r").agg(F.array_sort(F.collect_list("_x")).alias("_l"))
+    last = last.select(*keys_, "_i", F.get("_l", F.col("_r").cast("int")).alias("_v"))
+    both = done.unionByName(last).groupBy(*keys_).agg((F.sum(F.col("_v") / 2)).alias(name))
+    return both.select(*(k for k in keys_ if k != "_all"), name)
+
+
 def crosstab(df: DataFrame, rows: list[str], column: str, values: list[str]) -> DataFrame:
     """Counts by rows and the named values of a column, 0 where there are none."""
     return df.groupBy(*rows).pivot(column, values).count().na.fill(0, values)

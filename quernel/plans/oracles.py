@@ -362,3 +362,17 @@ tv AS (SELECT u, attack_type, count(*) FILTER (WHERE decision) / count(*) AS det
 tw AS (SELECT u AS without, max(1 - detection) FILTER (WHERE attack_type = u) AS a, max(detection) FILTER (WHERE attack_type = u) AS b, avg(1 - detection) FILTER (WHERE attack_type <> u) AS c FROM tv GROUP BY u)
 SELECT without, round(a, 6) AS asr_unseen, round(b, 6) AS detection_unseen, round(c, 6) AS mean_asr_seen, round(a - c, 6) AS gap, abs(a - c) <= 0.1 AS "within" FROM tw""",
 }
+
+ORACLES |= {
+    "median_component": f"WITH {V}, {H} SELECT layer, CAST(pos - 1 AS INT) AS pos, round(median(x), 9) AS median FROM (SELECT layer, generate_subscripts(vec, 1) AS pos, unnest(vec) AS x FROM h) GROUP BY ALL",
+    "signals_in_order": f"""{ALL}, few AS (SELECT * FROM {_sample("label", 20).format(where="label = 0")} UNION ALL SELECT * FROM {_sample("attack_type", 5).format(where="label = 1")}),
+x AS (SELECT f.sample_id, f.label, f.attack_type, md5(f.sample_id || '|42') AS k FROM few f),
+y AS (SELECT *, row_number() OVER (PARTITION BY label, CASE WHEN label = 1 THEN attack_type END ORDER BY k, sample_id) AS pick FROM x)
+SELECT sample_id, row_number() OVER (ORDER BY label, pick, attack_type, sample_id) - 1 AS ord, CAST(w_p AS INT) AS w_p, CAST(w_i AS INT) AS w_i, 4 AS w_q, n_masses, m_qi, n_layers, first
+FROM y JOIN w USING (sample_id) JOIN (SELECT sample_id, count(*) AS n_masses, round(sum(m_qi), 6) AS m_qi FROM m GROUP BY sample_id) USING (sample_id)
+JOIN (SELECT sample_id, count(*) AS n_layers, round(sum(vec[1]), 6) AS first FROM h GROUP BY sample_id) USING (sample_id)""",
+    "span_overlap_join": """WITH t AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS pos, length(unnest(l)) AS n FROM (SELECT doc_id, string_split(text, ' ') AS l FROM documents)),
+k AS (SELECT doc_id, pos, n, coalesce(sum(n + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM t),
+x AS (SELECT doc_id, unnest(['head', 'middle', 'whole']) AS span, unnest([20, length(text) // 2, 0]) AS a, unnest([60, length(text) // 2 + 1, length(text)]) AS b FROM documents)
+SELECT doc_id, span, min(pos) AS s, max(pos) + 1 AS e FROM k JOIN x USING (doc_id) WHERE s + n > a AND s < b GROUP BY doc_id, span""",
+}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quernel.config import Config
 from quernel.functions import signals as S
 from quernel.functions import text
-from quernel.operators import calibrate, corpus, decide, metrics, probes, spans
+from quernel.operators import calibrate, corpus, decide, lookup, metrics, probes, spans
 from quernel.plans import bridge as B
 from quernel.plans.bridge import table
 from quernel.session import written
@@ -658,8 +658,16 @@ def cross_firing(spark, d):
 def width_audit(spark, d):
     w = B.samples(spark, d).where("split = 'test'").join(B.widths(spark, d), "sample_id")
     wi = F.col("w_i").cast("double")
-    out = w.groupBy("attack_type").agg(F.count("*").alias("n"), F.avg(wi).alias("w_i_mean"), F.percentile(wi, 0.5).alias("w_i_median"), F.stddev_pop(wi).alias("w_i_std"), F.avg("w_p").alias("w_p_mean"))
-    return _rounded(out, "w_i_mean", "w_i_std", "w_p_mean")
+    out = w.groupBy("attack_type").agg(F.count("*").alias("n"), F.avg(wi).alias("w_i_mean"), F.stddev_pop(wi).alias("w_i_std"), F.avg("w_p").alias("w_p_mean"))
+    out = out.join(metrics.median(w, ["attack_type"], "w_i", "w_i_median"), "attack_type")
+    return _rounded(out.select("attack_type", "n", "w_i_mean", "w_i_median", "w_i_std", "w_p_mean"), "w_i_mean", "w_i_std", "w_p_mean")
+
+
+@query
+def median_component(spark, d):
+    """The exact median of each component of the hidden vectors: as many distinct values as there are rows."""
+    x = B.hidden(spark, d).select("layer", F.posexplode("vec").alias("pos", "x"))
+    return metrics.median(x, ["layer", "pos"], "x").select("layer", "pos", F.round("median", 9).alias("median"))
 
 
 @query
@@ -751,6 +759,35 @@ def ordered_subset(spark, d):
     return want.join(docs, "doc_id", "left").select("quality", F.col("ord").cast("long").alias("ord"), "doc_id", F.coalesce("found", F.lit(False)).alias("found"))
 
 
+@query
+def signals_in_order(spark, d):
+    """Widths, masses and hidden vectors of the calibration sample, in the order in which it was picked."""
+    few = corpus.calibration_sample(B.samples(spark, d), "sample_id", 20, 20, None)
+    order = F.row_number().over(Window.orderBy("label", "pick", "attack_type", "sample_id")) - 1  # at most 40 rows
+    wanted = few.select("sample_id", order.cast("long").alias("ord"))
+    m = B.masses(spark, d).groupBy("sample_id").agg(F.count("*").alias("n_masses"), F.round(F.sum("m_qi"), 6).alias("m_qi"))
+    h = B.hidden(spark, d).groupBy("sample_id").agg(F.count("*").alias("n_layers"), F.round(F.sum(F.col("vec")[0]), 6).alias("first"))
+    out = wanted
+    for part in (B.widths(spark, d), m, h):
+        out = lookup.in_order(out, part, "sample_id")
+    return out
+
+
+@query
+def span_overlap_join(spark, d):
+    """The pieces between spaces that three spans of each whole document overlap, by a binned join of rows."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    w = docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "w"))
+    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    tokens = w.select("doc_id", "pos", F.coalesce(F.sum(F.length("w") + 1).over(before), F.lit(0)).alias("start"), F.length("w").alias("n"))
+    tokens = tokens.select("doc_id", "pos", "start", (F.col("start") + F.col("n")).alias("end"))
+    n = F.length("text")
+    span = lambda name, s, e: F.struct(F.lit(name).alias("span"), s.cast("long").alias("start"), e.cast("long").alias("end"))
+    each = F.explode(F.array(span("head", F.lit(20), F.lit(60)), span("middle", F.floor(n / 2), F.floor(n / 2) + 1), span("whole", F.lit(0), n)))
+    spans_ = docs.select("doc_id", each.alias("x")).select("doc_id", "x.*")
+    return lookup.overlapping(tokens, spans_, "doc_id").select("doc_id", "span", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"))
+
+
 @query
 def first_seen_distinct(spark, d):
     """Distinct sources with the first document that has each."""

@@ -38,6 +38,18 @@ def read_hidden(spark: SparkSession, path: str, layers: list[int] | None = None)
     return df.where(F.col("layer").isin(*layers)) if layers else df
 
 
+def read_hidden_files(spark: SparkSession, folder: str, layers: list[int] | None = None, pattern: str = "hid_l") -> DataFrame:
+    """sample_id, layer, vec from one file a layer, hid_l<layer>.parquet: the layer comes from the file's name.
+
+    Files of other layers and other names are not opened."""
+    numbers = "[0-9]*" if layers is None else "{" + ",".join(map(str, sorted(set(layers)))) + "}"
+    if layers == []:
+        return spark.createDataFrame([], "sample_id string, layer int, vec array<float>")
+    raw = spark.read.option("pathGlobFilter", f"{pattern}{numbers}.parquet").schema("sample_id string, vec array<float>").parquet(folder)
+    layer = F.regexp_extract("_metadata.file_name", rf"^{pattern}(\d+)\.parquet$", 1)
+    return raw.select("sample_id", F.try_to_number(layer, F.lit("999999")).cast("int").alias("layer"), "vec").where("layer is not null")
+
+
 def write_hidden(df: DataFrame, path: str) -> None:
     """One folder per layer, so that a reader of one layer reads no other."""
     df.repartition("layer").write.mode("append").partitionBy("layer").parquet(path)

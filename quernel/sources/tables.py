@@ -45,25 +45,42 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumn("fired", F.coalesce("fired", F.lit(""))) if "fired" in out.columns else out
 
 
-def first_source(candidates: Sequence[tuple[str, Callable[[], DataFrame | None]]]) -> tuple[str, DataFrame]:
-    """The first candidate that gives a table with rows; what fails is passed over, and told if none is left."""
+def first_source(candidates: Sequence[tuple[str, Callable[[], DataFrame | None]]], tell: Callable[[str], None] | None = None) -> tuple[str, DataFrame]:
+    """The first candidate that gives a table with rows; tell gets what was passed over and why, and so does the error if none is left."""
     failed = []
     for name, get in candidates:
         try:
             df = get()
             if df is not None and df.limit(1).count():
+                for line in failed if tell else ():
+                    tell(f"passed over {line}")
                 return name, df
             failed.append(f"{name}: no rows")
         except Exception as e:  # noqa: BLE001  any reader's failure means the next one's turn
-            failed.append(f"{name}: {type(e).__name__}")
+            failed.append(f"{name}: {type(e).__name__}: {str(e).splitlines()[0][:200] if str(e) else ''}")
     raise ValueError("no source has rows: " + "; ".join(failed))
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Blank lines are passed over; a missing file is an empty table."""
+def split_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of a file of JSON lines: rejects has file and line of what is no object of the schema.
+
+    Lines in are rows, rejects and blank lines; a missing file is two empty tables."""
     if "://" not in path and not os.path.exists(path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).json(path).na.drop("all")
+        return spark.createDataFrame([], schema), spark.createDataFrame([], "file string, line string")
+    kept = T.StructType([*schema_of(schema).fields, T.StructField("_corrupt_record", T.StringType())])
+    lines = spark.read.text(path).where(F.trim(F.regexp_replace("value", r"\s", "")) != "").select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+    # a line cut off, of another type or no object at all is corrupt
+    parsed = lines.withColumn("r", F.from_json("line", kept, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    bad = F.col("r").isNull() | F.col("r._corrupt_record").isNotNull() | ~F.trim("line").startswith("{")
+    return parsed.where(~bad).select(*(F.col("r")[f.name].alias(f.name) for f in schema_of(schema).fields)), parsed.where(bad).select("file", "line")
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Blank lines are passed over; a missing file is an empty table; a malformed line fails the job that reads it."""
+    rows, rejects = split_jsonl(spark, path, schema)
+    kinds = schema_of(schema).fields
+    fail = F.raise_error(F.concat(F.lit("malformed line in "), "file", F.lit(": "), F.left("line", F.lit(200)))).cast("int")
+    return rows.withColumn("_bad", F.lit(0)).unionByName(rejects.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in kinds), fail.alias("_bad"))).where("_bad = 0").drop("_bad")
 
 
 def load_json(path: str, default: Any = None) -> Any:
