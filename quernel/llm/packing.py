@@ -155,8 +155,9 @@ def _slots(patterns: list[tuple[int, list[tuple[int, int]]]]) -> np.ndarray:
 def pack(pieces: DataFrame, capacity: int = 2048, order: tuple[str, ...] = ("doc_id", "start")) -> DataFrame:
     """Add sequence_id and offset to pieces with a length column in 1..capacity; all other columns stay.
 
-    `pieces` is read twice, so it should be a written table. Pieces of one length are ranked in hashed buckets
-    that grow in number with the table, so that no length, however common, falls to one task."""
+    `pieces` is read twice, so it should be a written table. Pieces of one length are ranked in buckets by a hash of
+    `order`, which grow in number with the table, so that no length, however common, falls to one task; a column of
+    `order` that tells equal rows apart, as pack_documents has it, does the same for repeated rows."""
     spark = pieces.sparkSession
     ship(spark)
     n = pieces.count()
@@ -184,4 +185,5 @@ def pack(pieces: DataFrame, capacity: int = 2048, order: tuple[str, ...] = ("doc
 def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", *, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 1, keep_ids: bool = True) -> DataFrame:
     """Tokenize, cut and pack: pieces with ids (or only their crc32) and their sequence_id and offset."""
     pieces = tokenize_pieces(docs, key, text, tokenizer=tokenizer, capacity=capacity, end_id=end_id).withColumn("ids_crc32", F.crc32("ids"))
-    return pack(written(pieces if keep_ids else pieces.drop("ids"), "pieces"), capacity)
+    pieces = (pieces if keep_ids else pieces.drop("ids")).withColumn("_row", F.monotonically_increasing_id())
+    return pack(written(pieces, "pieces"), capacity, ("doc_id", "start", "ids_crc32", "_row")).drop("_row")

@@ -389,7 +389,9 @@ def _columns(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", *, max_labelled: int = 12_000, words: int = 256, **how) -> Model:
-    """Fit on a sample of the labelled rows, bounded by max_labelled, and on all others as the pool. labels has one row an id."""
+    """Fit on a sample of the labelled rows, at most max_labelled, and on all rows of other ids as the pool.
+
+    labels has one row an id (of several, the worst counts). Of an id's texts, that of least hash is fitted to."""
     spark = docs.sparkSession
     ship(spark)
     good = ((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).cast("int")
@@ -399,7 +401,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     some = marked.where(place(0) < int((1 << 30) * min(1.0, 0.9 * max_labelled / max(1, n)))).limit(max_labelled)
     some = written(some.withColumn("aside", place(3) % 4 == 0), "labels")
     d = _columns(docs, key, text).withColumn("_id", F.col("doc_id"))
-    labelled = written(d.join(F.broadcast(some), "_id").drop("_id", "doc_id"), "sample")  # at most max_labelled ids
+    # an id may have any number of rows: the one of least hash stands for it, so rows are bounded as ids are
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "lang", "source", "n_chars")).alias("r")
+    labelled = d.join(F.broadcast(some), "_id").groupBy("_id", "y", "aside").agg(first)
+    labelled = written(labelled.select("y", "aside", "r.text", "r.lang", "r.source", "r.n_chars"), "sample")
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -135,17 +135,19 @@ def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
         raise ValueError("atoms must be a power of two")
     t = F.col(text).cast("string")
     body = F.coalesce(t, F.lit(""))
-    rows = written(docs.select(F.col(key).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.shiftrightunsigned(F.xxhash64(t), 2).alias("_place")), "shards")
+    rows = written(docs.select(F.col(key).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.shiftrightunsigned(F.xxhash64(t), 2).alias("_place"), F.monotonically_increasing_id().alias("_row")), "shards")
     starts = shard_starts(rows, shards, atoms)
     return with_slots(rows.withColumn("shard", shard_of(F.col("_place"), starts)).drop("_place"), rows.count())
 
 
-def with_slots(rows: DataFrame, n: int, order: tuple[str, ...] = ("doc_id", "size", "text_crc32")) -> DataFrame:
-    """Number the rows of each shard from 0 without gaps: by hashed cells whose starts come from their counts."""
+def with_slots(rows: DataFrame, n: int, order: tuple[str, ...] = ("doc_id", "size", "text_crc32"), row: str = "_row") -> DataFrame:
+    """Number the rows of each shard from 0 without gaps: by hashed cells whose starts come from their counts.
+
+    `row` numbers the rows of the written table, so that equal rows, however many, are spread over the cells as well."""
     cells = max(64, 1 << (n // SLOT_ROWS).bit_length())
-    rows = rows.withColumn("_c", F.pmod(F.xxhash64(*order), F.lit(cells)))
+    rows = rows.withColumn("_c", F.pmod(F.xxhash64(*order, row), F.lit(cells)))
     counts = rows.groupBy("shard", "_c").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "_c", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
-    within = Window.partitionBy("shard", "_c").orderBy(*order)
+    within = Window.partitionBy("shard", "_c").orderBy(*order, row)
     return rows.join(starts.hint("shuffle_hash"), ["shard", "_c"]).select(*order, "shard", (F.col("_s") + F.row_number().over(within) - 1).alias("slot"))

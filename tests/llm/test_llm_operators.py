@@ -313,13 +313,13 @@ def test_boilerplate_runs_equal_brute_force():
     for n in (1, 2, 12, 150):
         common = [[f"c{r.randrange(40)}" for _ in range(r.choice([2, 5, 8, 12, 20]))] for _ in range(6)]
         pages = [[r.choice(common) if r.random() < 0.4 else [f"u{r.randrange(10**9)}" for _ in range(r.randint(1, 15))] for _ in range(r.randint(0, 6))] for _ in range(n)]
-        least = max(3, int(0.1 * n))
         runs: dict[tuple, set] = {}
         cut = lambda b: [tuple(b)] if len(b) < 8 else [tuple(b[i : i + 8]) for i in range(len(b) - 7)]
-        for k, p in enumerate(pages):
+        for p in pages:  # copies of a page are one
             for b in p:
                 for x in cut(b):
-                    runs.setdefault(x, set()).add(k)
+                    runs.setdefault(x, set()).add(repr(p))
+        least = max(3, int(0.1 * len(set(map(repr, pages)))))
         for p, got in zip(pages, html_extract.repeated(pages, 8, 0.1), strict=True):
             for b, covered in zip(p, got, strict=True):
                 want = [False] * len(b)
@@ -360,3 +360,37 @@ def test_summed_fit_equals_a_fit_of_all_rows():
     whole = quality.fit_logistic(x, y, l2=1.0, steps=50)
     parts = quality.fit_logistic(x[:100], y[:100], l2=1.0, steps=50, more=lambda v: tuple(sum(s) for s in zip(*(quality.curvature(x[i : i + 100], y[i : i + 100], v, 0.0, 1.0) for i in (100, 200, 300)), strict=True)))
     assert np.allclose(whole, parts, atol=1e-4)
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    copy = "<div><p>one two three four five six seven eight nine ten</p><p>short</p></div>"
+    other = lambda i: f"<div><p>all pages of the host say just this again and again</p><p>{' '.join(f'w{i}x{j}' for j in range(12))}</p></div>"
+    for n in (0, 17, 300):
+        rows = [(i, "http://h/x", copy) for i in range(3)] + [(10 + i, "http://h/y", other(i)) for i in range(n)]
+        got = {r["page_id"]: r["text"] for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert {got[i] for i in range(3)} == {"one two three four five six seven eight nine ten short"}
+        assert all(got[10 + i] == " ".join(f"w{i}x{j}" for j in range(12)) for i in range(n))
+    assert html_extract.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_repeated_rows_are_spread_over_cells(spark):
+    same = spark.range(60_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("equal words").alias("text"))
+    got = sharding.shard_documents(same).groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("d"), F.max("slot").alias("m")).collect()
+    assert all(r["n"] == r["d"] == r["m"] + 1 for r in got) and sum(r["n"] for r in got) == 60_000
+    packed = packing.pack_documents(same, keep_ids=False)
+    assert "_row" not in packed.columns
+    seq = packed.groupBy("sequence_id").agg(F.sum("length").alias("n"), (F.max("offset") + F.first("length")).alias("end"), F.count_distinct("offset").alias("d"), F.count("*").alias("k")).collect()
+    assert sum(r["k"] for r in seq) == 60_000 and all(r["n"] == r["end"] <= 2048 and r["d"] == r["k"] for r in seq)
+    cell = F.pmod(F.xxhash64(F.lit(None).cast("long"), F.lit(0), F.monotonically_increasing_id()), F.lit(64))
+    assert max(r["count"] for r in same.repartition(4).groupBy(cell.alias("c")).count().collect()) < 1500
+
+
+def test_labelled_rows_are_bounded_not_ids(spark, monkeypatch):
+    seen = []
+    plain = quality.co_train
+    monkeypatch.setattr(quality, "co_train", lambda packed, y, *a, **b: seen.append(len(y)) or plain(packed, y, *a, **b))
+    one = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("text number "), "id").alias("text"))
+    docs = one.union(spark.range(100, 200).select("id", F.concat(F.lit("other text "), "id")))
+    labels = spark.range(100, 140).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic")).union(spark.createDataFrame([(7, 1, 0)], "doc_id long, quality int, toxic int"))
+    assert quality.classify(docs, labels, max_labelled=100).count() == 20_100
+    assert seen and seen[0] <= 100
