@@ -1,84 +1,213 @@
-"""python -m quernel.cli STAGE --data DIR: dataset, gate, extract (or stream: only what is new), calibrate, decide or report, each from the files of those before."""
+"""python -m quernel.cli STAGE... --data DIR: dataset, gate, extract (or stream: only what came since), calibrate, decide,
+report, quant, latency, bundle, or all; each from the files of those before.
+
+DIR has one folder for each version of the dataset, with all that was derived from it, and CURRENT.json, which points to
+the present one. A dataset that comes out as before keeps its version; another one begins a new folder, while readers
+of the old one go on.
+"""
 
 from __future__ import annotations
 
 import argparse
+import dataclasses
+import hashlib
+import os
+import platform
 import sys
 
-from pyspark.sql import SparkSession
+import pyspark
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.config import Config
-from quernel.operators import calibrate, corpus, dataset, decide, spans
-from quernel.sources import sinks, tables
+from quernel.functions import arrays
+from quernel.functions import signals as S
+from quernel.operators import calibrate, corpus, dataset, decide, metrics, spans
+from quernel.operators.decide import GENERAL
+from quernel.session import written
+from quernel.sources import sinks, tables, versions
 from quernel.streaming import incremental
 
-STAGES = ("dataset", "gate", "extract", "stream", "calibrate", "decide", "report")
+STAGES = ("dataset", "gate", "extract", "stream", "calibrate", "decide", "report", "quant", "latency", "bundle")
+ALL = ("dataset", "gate", "extract", "calibrate", "decide", "report", "quant", "latency", "bundle")
+#: The batch under which a whole extraction puts what no streamed batch has.
+WHOLE = -1
+
+
+def build(spark: SparkSession, data: str, cfg: Config, force: bool, synthetic: bool) -> None:
+    """Publish the dataset, unless it was built from the same settings."""
+    asked = hashlib.sha256(repr(dataclasses.astuple(cfg)).encode() + bytes([synthetic])).hexdigest()[:16]
+    found = versions.current(spark, data)
+    if found and found.get("settings") == asked and not force and not tables.is_stale(tables.read_table(spark, f"{versions.folder(spark, data)}/dataset", tables.DATASET), found):
+        print("the dataset is as it was; --force builds it again")
+        return
+    made = ("synthetic", lambda: corpus.synthetic_pairs(spark, cfg.n_base_pairs))
+    csv = ("csv", lambda: tables.read_pairs_csv(spark, cfg.local_clean_csv) if cfg.local_clean_csv else None)
+    name, pairs = tables.first_source([made] if synthetic or cfg.synthetic_clean else [csv, made], print)
+    pairs = corpus.clean_pairs(pairs.withColumn("_o", F.col("source_id")), "_o", cfg.clean_passage_max_chars, cfg.clean_query_max_chars)
+    said, changed = versions.publish(spark, data, "dataset", lambda: dataset.build_dataset(pairs, cfg), source=name, settings=asked)
+    print(f"dataset {said['version']} from {name}: {'new' if changed else 'as it was'}")
+
+
+def candidates(masses: DataFrame, hidden: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame]:
+    """Masses of the last attn_last_k layers, and hidden vectors of the candidate layers, of as many as the masses have."""
+    n = (masses.agg(F.max("layer")).first()[0] or 0) + 1
+    return masses.where(F.col("layer") >= n - cfg.attn_last_k), hidden.where(F.col("layer").isin(*cfg.candidate_layers(n)))
+
+
+def settings(cfg: Config) -> dict:
+    half = max(8, cfg.calib_per_specialist // 2)
+    return {"n_clean": half, "n_inj": half, "n_shared": max(8, cfg.calib_h_samples // 2), "seed": cfg.seed, "fit_share": cfg.probe_fit_frac, "alpha_step": cfg.alpha_step, "top_k": cfg.top_k_heads, "eps": cfg.epsilon}
+
 
+def baselines(scores: DataFrame) -> DataFrame:
+    """AUROC by kind of the shared halves, the shared fused score and each kind's own detector."""
+    kinds = F.array(*map(F.lit, corpus.ATTACK_TYPES))
+    s = scores.withColumn("type", F.explode(F.when(F.col("label") == 1, F.array("attack_type")).otherwise(kinds)))
+    general, own = F.col("name") == GENERAL, F.col("name") == F.col("type")
+    parts = (("attention shared", general, "zr"), ("fused shared", general, "s"), ("hidden shared", general, "zp"), ("specialist alone", own, "s"))
+    each = F.filter(F.array(*(F.struct(F.lit(n).alias("config"), when.alias("when"), F.round(c, 6).alias("score")) for n, when, c in parts)), lambda x: x["when"])
+    return metrics.auroc(s.select("type", "label", F.explode(each).alias("x")).select("x.config", "type", "label", "x.score"), ["config", "type"])
 
-def run(spark: SparkSession, stage: str, data: str, cfg: Config, force: bool = False) -> int:
-    path = lambda name: f"{data}/{name}"
+
+def report(spark: SparkSession, out: str, samples: DataFrame, signals: tuple[DataFrame, ...], cfg: Config) -> None:
+    """RESULTS.md: the criteria, the decisions, the tables that compare configurations, and what they rest on."""
+    masses, widths, hidden = signals
+    kept = tables.load_json(f"{out}/specs.json")
+    specs = calibrate.specs_table(spark, kept)
+    scored = written(decide.spec_scores(samples.where("split <> 'train'"), masses, widths, hidden, specs, cfg.epsilon), "report-scores")
+    test, val = scored.where("split = 'test'"), scored.where("split = 'val'")
+    tuned = metrics.choose_theta(val.groupBy("sample_id", "label").agg(F.max("s").alias("score")), [], F.lit(cfg.target_fpr)).first()
+    modes = {m: written(decide.decisions(test, m, tuned["theta"] if tuned else None), "report-records") for m in ("per_spec", "global_max")}
+    records = modes[cfg.meta_mode]
+    b = written(baselines(test), "report-baselines")
+    means = {r["config"]: r["m"] for r in b.groupBy("config").agg(F.avg("auroc").alias("m")).collect()}
+    rho = written(decide.score_correlations(val.where(F.col("name") != GENERAL)), "report-rho")
+    left = calibrate.calibrated(samples, masses, widths, hidden, [d for d in calibrate.leave_one_out(cfg.seed, cfg.target_fpr) if d.without in (None, cfg.unseen_type)], **settings(cfg))
+    unseen = written(calibrate.unseen_kinds(samples.where("split = 'test'"), masses, widths, hidden, written(left, "report-left"), cfg.epsilon).where(F.col("without") == cfg.unseen_type), "report-unseen")
+    one = {**decide.overall(records).first().asDict(), **decide.mean_asr(records).first().asDict(), **decide.attribution_accuracy(records).first().asDict()}
+    gap, most = unseen.first(), rho.agg(F.max(F.abs("rho"))).first()[0]
+    quant = tables.load_json(f"{out}/quant_compare.json", {})
+    gain = None if None in (means.get("specialist alone"), means.get("fused shared")) else means["specialist alone"] - means["fused shared"]
+    rows = [("mean ASR", one["mean_asr"], "< 0.08", lambda v: v < 0.08), ("mean FPR", one["fpr"], "< 0.05", lambda v: v < 0.05), ("attribution accuracy", one["attr_accuracy"], "> 0.75", lambda v: v > 0.75), ("fusion gain", gain, "> 0.03", lambda v: v > 0.03), ("pairwise rho", most, "< 0.5", lambda v: v < 0.5), ("unseen gap", gap["gap"] if gap else None, "within 0.1", lambda v: abs(v) <= 0.1), ("precision correlation", quant.get("rho_mean"), "> 0.9", lambda v: v > 0.9)]
+    criteria = spark.createDataFrame([(n, v, t, "n/a" if v is None else "MET" if ok(v) else "NOT MET") for n, v, t, ok in rows], "metric string, actual double, target string, status string")
+    wide = samples.where("split = 'test'").join(widths, "sample_id")
+    audit = wide.groupBy("attack_type").agg(F.count("*").alias("n"), F.avg("w_i").alias("mean"), F.stddev_pop("w_i").alias("sd")).join(metrics.median(wide, ["attack_type"], "w_i"), "attack_type")
+    kinds = list(corpus.ATTACK_TYPES)
+    spine = b.where("config <> 'hidden shared'").groupBy("config").pivot("type", kinds).agg(F.first("auroc"))
+    detectors = spark.createDataFrame([(s["name"], s["layer"], s["head"], s["l_star"], s["alpha"], s["theta"], *(s["auroc_" + k] for k in ("head", "shared", "hid", "fused", "cos"))) for s in kept], "name string, layer int, head int, l_star int, alpha double, theta double, auroc_head double, auroc_shared double, auroc_hid double, auroc_fused double, auroc_cos double")
+    by_mode = None
+    for m, r in modes.items():
+        row = decide.overall(r).select(F.lit(m).alias("mode"), "detection", "asr", "fpr", "f1")
+        by_mode = row if by_mode is None else by_mode.unionByName(row)
+    sections = [
+        ("Criteria", criteria), ("Detectors", detectors), ("Overall", decide.overall(records)), ("By kind", decide.per_type(records).orderBy("attack_type")), ("Attribution", decide.attribution_confusion(records).orderBy("attack_type", "attribution")),
+        ("Baselines", b.orderBy("config", "type")), ("Spread by configuration", spine.withColumn("spread", F.greatest(*map(F.col, kinds)) - F.least(*map(F.col, kinds))).orderBy("config")), ("Decision modes", by_mode),
+        ("Unseen kind", unseen), ("Correlation of detectors", rho.orderBy("a", "b")), ("Cross firing", metrics.crosstab(decide.winners(val.where((F.col("name") != GENERAL) & (F.col("label") == 1))), ["winner"], "attack_type", kinds).orderBy("winner")), ("Widths", audit.orderBy("attack_type")),
+    ]
+    if quant:
+        sections.append(("Precision", "\n".join(f"- {k}: {v}" for k, v in quant.items())))
+    sinks.write_report(f"{out}/RESULTS.md", "Results", sections)
+
+
+def compare_precisions(samples: DataFrame, signals: tuple[DataFrame, ...], cfg: Config) -> dict:
+    """How signals of a capped sample agree with the same at a lower precision: heads' ratios and layers' vectors."""
+    masses, widths, hidden = signals
+    precision = cfg.precision((*arrays.MANTISSA, "int8"))
+    few = F.broadcast(written(dataset.capped_sample(samples, "sample_id", cfg.quant_compare_n, cfg.seed), "quant-sample"))
+    low = lambda c: arrays.lowered(F.col(c), precision).alias(c)
+    m = masses.join(few.select("sample_id"), "sample_id")
+    a = calibrate.head_ratios(few, m, widths, cfg.epsilon)
+    b = calibrate.head_ratios(few, m.select("sample_id", "layer", "head", low("m_qp"), low("m_qi"), low("m_qq")), widths, cfg.epsilon).select("sample_id", "layer", "head", F.col("r").alias("q"))
+    heads = written(a.join(b, ["sample_id", "layer", "head"]).groupBy("layer", "head").agg(metrics.pearson(F.col("r"), F.col("q")).alias("rho")), "quant-heads")
+    vec = F.col("vec").cast("array<double>")
+    cos = hidden.join(few.select("sample_id"), "sample_id").select("layer", S.cosine(vec, F.transform(vec, lambda x: arrays.lowered(x, precision))).alias("c")).groupBy("layer").agg(F.avg("c").alias("c"))
+    best = calibrate.rank_heads(a).where("rank = 1").join(heads, ["layer", "head"]).first()
+    r, c = heads.agg(F.avg("rho"), F.min("rho")).first(), cos.agg(F.avg("c"), F.min("c")).first()
+    return {"precision": precision, "n": few.count(), "rho_mean": r[0], "rho_min": r[1], "cos_mean": c[0], "cos_min": c[1], "best_head": [best["layer"], best["head"]] if best else None, "rho_best_head": best["rho"] if best else None}
+
+
+def bundle(spark: SparkSession, data: str, out: str, cfg: Config) -> None:
+    """What a run can be repeated from: settings, versions of what it ran on, hashes of the code, sizes of the splits,
+    the list of files, and the small results, in one zip."""
+    here = os.path.dirname(os.path.abspath(__file__))
+    code = {}
+    for folder, _, names in os.walk(here):
+        for n in sorted(x for x in names if x.endswith(".py")):
+            with open(os.path.join(folder, n), "rb") as f:
+                code[os.path.relpath(os.path.join(folder, n), here)] = hashlib.sha256(f.read()).hexdigest()
+    sizes = metrics.crosstab(tables.read_table(spark, f"{out}/dataset", tables.DATASET), ["attack_type", "goal"], "split", ["train", "val", "test"]).orderBy("attack_type", "goal")
+    files = sorted((os.path.relpath(os.path.join(d, n), out), os.path.getsize(os.path.join(d, n))) for d, _, names in os.walk(out) for n in names if not n.startswith("."))
+    about = {"settings": dataclasses.asdict(cfg), "dataset": versions.current(spark, data), "python": platform.python_version(), "pyspark": pyspark.__version__, "platform": platform.platform(), "spark": dict(spark.sparkContext.getConf().getAll()), "code": code, "sizes": [r.asDict() for r in sizes.collect()], "files": files}
+    sinks.save_json(about, f"{out}/environment.json")
+    small = [f"{out}/{n}" for n in ("environment.json", "specs.json", "quant_compare.json", "latency.json", "token_ranges_report.json", "RESULTS.md") if os.path.exists(f"{out}/{n}")]
+    sinks.bundle(f"{out}/bundle.zip", small)
+
+
+def run(spark: SparkSession, stage: str, data: str, cfg: Config, force: bool = False, synthetic: bool = False, extractor: incremental.SignalExtractor = incremental.stub_extractor) -> int:
     if stage == "dataset":
-        stored = tables.load_json(path("fingerprint.json"))
-        if stored and not force and not tables.is_stale(tables.read_table(spark, path("dataset"), tables.DATASET), stored):
-            print("the dataset is as it was; --force builds it again")
-            return 0
-        sources = [("csv", lambda: tables.read_pairs_csv(spark, cfg.local_clean_csv) if cfg.local_clean_csv else None), ("synthetic", lambda: corpus.synthetic_pairs(spark, cfg.n_base_pairs))]
-        name, pairs = tables.first_source(sources)
-        pairs = corpus.clean_pairs(pairs.withColumn("_o", F.col("source_id")), "_o", cfg.clean_passage_max_chars, cfg.clean_query_max_chars)
-        sinks.write_table(dataset.build_dataset(pairs, cfg), path("dataset"))
-        rows, value = tables.fingerprint(tables.read_table(spark, path("dataset"), tables.DATASET))
-        sinks.save_json({"rows": rows, "fingerprint": value, "source": name}, path("fingerprint.json"))
-        if stored and stored.get("fingerprint") != value:  # signals of other samples
-            sinks.discard(spark, *map(path, ("masses", "widths", "hidden", "rejects", "stream", "specs.json")))
-    elif stage == "stream":
+        build(spark, data, cfg, force, synthetic)
+        return 0
+    out = versions.folder(spark, data)
+    path = lambda name: f"{out}/{name}"
+    prepare = lambda df: spans.encode(df.withColumnRenamed("id", "sample_id"), cfg.max_seq_len, cfg.tail_len)
+    rows = tables.read_table(spark, path("dataset"), tables.DATASET)
+    if stage == "gate":
+        picks = corpus.round_robin(rows.withColumnRenamed("id", "sample_id"), "attack_type", "sample_id", cfg.n_validate, cfg.seed)
+        found = spans.gate_summary(spans.gate(spans.encode(picks, cfg.max_seq_len, cfg.tail_len))).first().asDict()
+        sinks.save_json(found, path("token_ranges_report.json"))
+        return 0 if found["passed"] else 1
+    if stage == "extract":
+        incremental.add_batch(prepare(rows), out, WHOLE, extractor)
+        return 0
+    if stage == "stream":
         progress = incremental.Progress(lambda b: print(f"batch {b[0]}: {b[1]} samples"))
         spark.streams.addListener(progress)
-        prepare = lambda df: spans.encode(df.withColumnRenamed("id", "sample_id"), cfg.max_seq_len, cfg.tail_len)
-        incremental.extraction_stream(spark, path("dataset"), tables.DATASET, path("stream"), path("stream/checkpoint"), prepare=prepare).awaitTermination()
+        incremental.extraction_stream(spark, path("dataset"), tables.DATASET, out, path("checkpoint"), extractor, prepare).awaitTermination()
         spark.streams.removeListener(progress)
-    elif stage in ("gate", "extract"):
-        d = tables.read_table(spark, path("dataset"), tables.DATASET).withColumnRenamed("id", "sample_id")
-        if stage == "gate":
-            picks = corpus.round_robin(d, "attack_type", "sample_id", cfg.n_validate, cfg.seed)
-            found = spans.gate_summary(spans.gate(spans.encode(picks, cfg.max_seq_len, cfg.tail_len))).first().asDict()
-            sinks.save_json(found, path("token_ranges_report.json"))
-            return 0 if found["passed"] else 1
-        encoded = spans.encode(d, cfg.max_seq_len, cfg.tail_len)
-        signals = incremental.extract(encoded)
-        sinks.write_table(signals, path("masses"))
-        good, bad = incremental.split_valid(encoded)
-        width = lambda t: (F.col(f"{t}_tok.e") - F.col(f"{t}_tok.s")).alias(f"w_{t}")
-        sinks.write_table(good.select("sample_id", width("p"), width("i"), width("q")), path("widths"))
-        sinks.write_table(bad, path("rejects"))
-        # the stub has no hidden states: each layer's masses stand in
-        vec = signals.groupBy("sample_id", "layer").agg(F.array_sort(F.collect_list(F.struct("head", "m_qi"))).alias("x"))
-        sinks.write_table(vec.select("sample_id", "layer", F.transform("x", lambda x: x["m_qi"]).alias("vec")), path("hidden"))
+        return 0
+    if stage == "bundle":
+        bundle(spark, data, out, cfg)
+        return 0
+    samples = rows.select(F.col("id").alias("sample_id"), "attack_type", "label", "split")
+    masses, widths, hidden = incremental.read_cache(spark, out)
+    masses, hidden = candidates(masses, hidden, cfg)
+    if stage == "calibrate":
+        specs = calibrate.calibrate_all(spark, samples, masses, widths, hidden, target_fpr=cfg.target_fpr, **settings(cfg))
+        sinks.save_json(specs, path("specs.json"))
+    elif stage == "quant":
+        sinks.save_json(compare_precisions(samples, (masses, widths, hidden), cfg), path("quant_compare.json"))
+    elif stage == "report":
+        report(spark, out, samples, (masses, widths, hidden), cfg)
     else:
-        samples = spark.read.parquet(path("dataset")).select(F.col("id").alias("sample_id"), "attack_type", "label", "split")
-        masses, widths, hidden = (spark.read.parquet(path(n)) for n in ("masses", "widths", "hidden"))
-        if stage == "calibrate":
-            half = max(8, cfg.calib_per_specialist // 2)
-            specs = calibrate.calibrate_all(spark, samples, masses, widths, hidden, n_clean=half, n_inj=half, target_fpr=cfg.target_fpr, seed=cfg.seed)
-            sinks.save_json(specs, path("specs.json"))
-            return 0
         specs = calibrate.specs_table(spark, tables.load_json(path("specs.json")))
-        records = decide.decisions(decide.spec_scores(samples.where("split = 'test'"), masses, widths, hidden, specs), cfg.meta_mode)
-        if stage == "decide":
-            sinks.write_csv(records, path("test_records"))
+        few = samples.where("split = 'test'")
+        if stage == "latency":
+            few = F.broadcast(dataset.few_rows(few, "sample_id", 5, cfg.seed))
+            one = decide.decisions(decide.spec_scores(few, masses, widths, hidden, specs, cfg.epsilon), cfg.meta_mode)
+            sinks.save_json(dataset.latency(one, cfg.n_latency_runs), path("latency.json"))
         else:
-            records = records.persist()
-            sinks.write_report(path("RESULTS.md"), "Results", [("Overall", decide.overall(records)), ("By kind", decide.per_type(records)), ("Attribution", decide.attribution_confusion(records))])
+            sinks.write_csv(decide.decisions(decide.spec_scores(few, masses, widths, hidden, specs, cfg.epsilon), cfg.meta_mode), path("test_records"))
     return 0
 
 
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(description=__doc__)
-    p.add_argument("stage", choices=STAGES)
+    p.add_argument("stages", nargs="+", choices=(*STAGES, "all"))
     p.add_argument("--data", required=True)
-    p.add_argument("--force", action="store_true")
+    p.add_argument("--force", action="store_true", help="build the dataset even if its settings are as before")
+    p.add_argument("--synthetic", action="store_true", help="made pairs only, whatever other sources there are")
+    p.add_argument("--quant-compare", action="store_true", help="compare precisions after extraction")
+    p.add_argument("--validate-only", action="store_true", help="stop after the gate")
     a = p.parse_args(args)
-    return run(SparkSession.builder.getOrCreate(), a.stage, a.data, Config.from_env(), a.force)
+    spark, cfg = SparkSession.builder.getOrCreate(), Config.from_env()
+    for stage in [s for one in a.stages for s in (ALL if one == "all" else (one,))]:
+        failed = run(spark, stage, a.data, cfg, a.force, a.synthetic)
+        if failed or stage == "gate" and a.validate_only:
+            return failed
+        if stage in ("extract", "stream") and a.quant_compare:
+            run(spark, "quant", a.data, cfg)
+    return 0
 
 
 if __name__ == "__main__":

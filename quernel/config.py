@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 from dataclasses import dataclass, fields, replace
 from typing import Any
 
@@ -67,6 +67,13 @@ class Config:
     def reference_precisions(self) -> list[str]:
         return [p.strip() for p in self.quant_ref_chain.split(",") if p.strip()]
 
+    def precision(self, known: Collection[str]) -> str:
+        """The first of the chain of precisions that is known."""
+        for p in self.reference_precisions():
+            if p in known:
+                return p
+        raise ValueError(f"none of {self.quant_ref_chain} is one of {', '.join(sorted(known))}")
+
 
 def _coerce(raw: str, like: Any) -> Any:
     if isinstance(like, bool):

@@ -22,6 +22,22 @@ def half(vec: Column) -> Column:
     return rounded(vec)
 
 
+#: Bits of the mantissa that a float of each precision keeps.
+MANTISSA = {"fp16": 10, "bf16": 7}
+
+
+def lowered(x: Column, precision: str) -> Column:
+    """A number rounded as a precision would: fp16 and bf16 to so many bits of mantissa, int8 to 1/127 steps of [-1, 1].
+
+    Expressions only; for exact half precision of whole vectors there is half()."""
+    if precision == "int8":
+        return F.greatest(F.least(F.rint(x * 127), F.lit(127.0)), F.lit(-127.0)) / 127
+    if precision not in MANTISSA:
+        raise ValueError(f"unknown precision {precision}")
+    size = F.when(x == 0, F.lit(1.0)).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(F.abs(x))) - MANTISSA[precision]))
+    return F.rint(x / size) * size
+
+
 def tokenizer_offsets(path: str) -> Callable[[Column], Column]:
     """A tokenizer file's token offsets in code points: stands in for the pieces between spaces."""
 

@@ -50,3 +50,14 @@ def latency(df: DataFrame, runs: int = 3) -> dict[str, float]:
         if i:
             took.append(time.perf_counter() - began)
     return {"mean_s": sum(took) / len(took), "min_s": min(took), "runs": runs}
+
+
+def few_rows(df: DataFrame, key: str = "id", n: int = 5, seed: int = 42) -> DataFrame:
+    """n rows in a hashed order, the same in every run: what latency is measured on."""
+    return df.orderBy(text.shuffled_by(F.col(key), seed), key).limit(n)
+
+
+def capped_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """At most n rows, evenly over the kinds (clean ones are a kind): what precisions are compared on."""
+    kinds = len(corpus.ATTACK_TYPES) + 1
+    return corpus.sample_per_stratum(df, ["attack_type"], key, max(1, n // kinds), seed).drop("pick")

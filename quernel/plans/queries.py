@@ -487,7 +487,7 @@ def confusion_dense(spark, d):
 
 @query
 def tableA(spark, d):
-    r = _records(spark, d).select("attack_type", "label", "decision").persist()
+    r = written(_records(spark, d).select("attack_type", "label", "decision"), "records")
     kinds = decide.per_type(r).select(F.col("attack_type").alias("type"), "n", "detection", "asr", F.lit(None).cast("double").alias("fpr"), F.lit(None).cast("double").alias("f1"))
     every = decide.overall(r).select(F.lit("all").alias("type"), "n", "detection", "asr", "fpr", "f1")
     return _rounded(kinds.unionByName(every), "detection", "asr", "fpr", "f1")
@@ -560,7 +560,7 @@ def table_spine(spark, d):
 @query
 def criteria(spark, d):
     """Targets against what the decisions reach."""
-    r = _records(spark, d).persist()
+    r = written(_records(spark, d), "records")
     one = decide.mean_asr(r).join(decide.overall(r).select("fpr")).join(decide.attribution_accuracy(r).select("attr_accuracy"))
     met = lambda c: F.when(c, "MET").otherwise("NOT MET")
     rows = F.array(

@@ -79,7 +79,7 @@ def test_extraction_stream_goes_on_where_it_was(spark, tmp_path):
         if part:
             spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
         incremental.extraction_stream(spark, src, schema, out, ck).awaitTermination()
-    got = spark.read.parquet(f"{out}/signals")
+    got = incremental.read_cache(spark, out)[0]
     assert got.count() == 3 * 8 and got.select("sample_id").distinct().count() == 3
     assert [r["sample_id"] for r in spark.read.parquet(f"{out}/rejects").collect()] == ["s0"]
     assert incremental.todo(spark.createDataFrame(rows, schema), got).count() == 1
@@ -96,14 +96,3 @@ def test_discard_removes_only_what_is_there(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "t"))
     assert sinks.discard(spark, str(tmp_path / "t"), str(tmp_path / "u")) == [str(tmp_path / "t")]
     assert not (tmp_path / "t").exists()
-
-
-def test_stream_stage_takes_only_new_samples(spark, tmp_path):
-    from quernel import cli
-    from quernel.config import Config
-
-    cfg, d = Config().shrunk(), str(tmp_path / "d")
-    assert cli.run(spark, "dataset", d, cfg) == 0
-    assert cli.run(spark, "stream", d, cfg) == 0 and cli.run(spark, "stream", d, cfg) == 0
-    n = spark.read.parquet(f"{d}/stream/signals").select("sample_id").distinct().count() + spark.read.parquet(f"{d}/stream/rejects").count()
-    assert n == spark.read.parquet(f"{d}/dataset").count()
