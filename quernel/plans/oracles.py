@@ -121,8 +121,8 @@ inj AS (SELECT *, replace(replace({wrap}, '{{topic}}', topic), '{{goal}}', goal_
 INJ = "WITH docs AS (SELECT doc_id, text AS passage FROM documents), " + _injected("docs", "CAST(doc_id % 4 + 1 AS INT)", _goal("CAST(doc_id // 4 % 5 + 1 AS INT)"), 700)
 
 
-def _encoded(most: int, tail: int) -> str:
-    made = _injected("pairs", "CAST(doc_id // 2 % 4 + 1 AS INT)", _goal("CAST(doc_id // 8 % 5 + 1 AS INT)"), 300)
+def _encoded(most: int, tail: int, chars: int = 300) -> str:
+    made = _injected("pairs", "CAST(doc_id // 2 % 4 + 1 AS INT)", _goal("CAST(doc_id // 8 % 5 + 1 AS INT)"), chars)
     over = lambda a, b: f"e > {a} AND s < {b}"
     return f"""WITH {PAIRS}, {made},
 pr AS (SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN p || gap || core ELSE p END AS passage, {_truncated('query', 160)} AS query, doc_id % 2 = 1 AS injected, length(p) + length(gap) AS off, length(core) AS core_len FROM inj),
@@ -376,3 +376,10 @@ k AS (SELECT doc_id, pos, n, coalesce(sum(n + 1) OVER (PARTITION BY doc_id ORDER
 x AS (SELECT doc_id, unnest(['head', 'middle', 'whole']) AS span, unnest([20, length(text) // 2, 0]) AS a, unnest([60, length(text) // 2 + 1, length(text)]) AS b FROM documents)
 SELECT doc_id, span, min(pos) AS s, max(pos) + 1 AS e FROM k JOIN x USING (doc_id) WHERE s + n > a AND s < b GROUP BY doc_id, span""",
 }
+
+WHOLE = _encoded(1024, 48, 700)
+ORACLES |= {
+    "prompt_spans_whole": f"{WHOLE} SELECT doc_id, n_tokens, p_s, p_e, q_s, q_e, i_s, i_e, note = '' AS valid, note FROM en",
+    "tail_pseudo_span_whole": f"{WHOLE} SELECT doc_id, i_s, i_e FROM en WHERE NOT injected",
+    "token_gate_whole": GATE.replace(_encoded(1024, 48), WHOLE),
+}
