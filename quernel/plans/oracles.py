@@ -175,7 +175,7 @@ def _sample(kind: str, n: int) -> str:
 def _synthetic() -> str:
     lists = [", ".join(map(_text, x)) for x in (corpus.TOPICS, corpus.SENTENCES, corpus.QUESTIONS)]
     parts = " || ' ' || ".join(f"replace(se[(k + {j}) % 10 + 1], '{{t}}', t)" for j in range(4))
-    return f"""WITH a AS (SELECT i, i // 20 % 10 AS k, [{lists[0]}][i % 20 + 1] AS t, [{lists[1]}] AS se, [{lists[2]}] AS qu FROM range(400) r(i))
+    return f"""WITH a AS (SELECT i, i // 20 % 10 AS k, [{lists[0]}][i % 20 + 1] AS t, [{lists[1]}] AS se, [{lists[2]}] AS qu FROM (SELECT unnest(range((SELECT count(*) FROM documents))) AS i))
 SELECT i, {parts} AS passage, qu[(i * 7 + k) % 10 + 1] AS query, 'synthetic-' || i AS source_id FROM a"""
 
 

@@ -204,7 +204,8 @@ def row_ids(spark, d):
 
 @query
 def synthetic_pairs(spark, d):
-    return corpus.synthetic_pairs(spark, 400)
+    """A made pair for each document there is."""
+    return corpus.synthetic_pairs(spark, table(spark, d, "documents").count())
 
 
 @query

@@ -96,3 +96,10 @@ def test_discard_removes_only_what_is_there(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "t"))
     assert sinks.discard(spark, str(tmp_path / "t"), str(tmp_path / "u")) == [str(tmp_path / "t")]
     assert not (tmp_path / "t").exists()
+
+
+def test_json_lines_are_appended(spark, tmp_path):
+    p = str(tmp_path / "l")
+    for k in (1, 2):
+        sinks.append_jsonl(spark.createDataFrame([(k, "é"), (k, None)], "a int, b string"), p)
+    assert sorted((r["a"], r["b"] or "") for r in tables.read_jsonl(spark, p, "a int, b string").collect()) == [(1, ""), (1, "é"), (2, ""), (2, "é")]
