@@ -373,6 +373,44 @@ def test_copies_of_a_page_keep_their_text(spark):
     assert html_extract.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_boilerplate_is_counted_over_the_whole_host(spark):
+    """Brute force over a host of many groups: pages with lines that 9, 10 or 50% of them hold, copies, an empty page, an article."""
+    r = random.Random(4)
+
+    def blocks(i):
+        own = " ".join(f"w{i}x{j}" for j in range(r.choice([3, 12])))
+        lines = [x for x, p in (("about nine in a hundred pages of this host say so", 0.09), ("ten in a hundred", 0.11), ("half of all the pages of this one host have it too", 0.5)) if r.random() < p]
+        return [*lines, own, *(["here and there " + own + " half of all the pages of this one host"] if i % 7 == 0 else [])]
+
+    pages = {i: blocks(i) for i in range(700)}
+    pages |= {1000 + i: pages[5] for i in range(400)} | {2000: [], 2001: blocks(2001)}
+    rows = [(i, "http://big/x", "".join(f"<p>{x}</p>" for x in p)) for i, p in pages.items()]
+    rows[-1] = (2001, "http://big/x", f"<article>Main text</article>{rows[-1][2]}")
+    cut = lambda b: [tuple(b)] if len(b) < 8 else [tuple(b[i : i + 8]) for i in range(len(b) - 7)]
+    held: dict[tuple, set] = {}
+    for p in pages.values():
+        for b in p:
+            for x in cut(b.split(" ")):
+                held.setdefault(x, set()).add(repr(p))
+    least = max(3, int(0.1 * len(set(map(repr, pages.values())))))
+    want = {}
+    for i, p in pages.items():
+        left = []
+        for b in p:
+            words = b.split(" ")
+            gone = [False] * len(words)
+            for k, x in enumerate(cut(words)):
+                if len(held[x]) >= least:
+                    gone[k : k + len(x)] = [True] * len(x)
+            left += [w for w, g in zip(words, gone, strict=True) if not g]
+        want[i] = " ".join(left)
+    want[2001] = "Main text"
+    assert 3 < sum(len(v) >= least for v in held.values()) < 20
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for group in (16, 256, 10_000):  # 45 groups, 3, and none
+        assert {x["page_id"]: x["text"] for x in html_extract.extract_text(df, group=group).collect()} == want
+
+
 def test_repeated_rows_are_spread_over_cells(spark):
     same = spark.range(60_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("equal words").alias("text"))
     got = sharding.shard_documents(same).groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("d"), F.max("slot").alias("m")).collect()
