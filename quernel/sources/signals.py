@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,26 @@ def read_hidden_files(spark: SparkSession, folder: str, layers: list[int] | None
     return raw.select("sample_id", F.try_to_number(layer, F.lit("999999")).cast("int").alias("layer"), "vec").where("layer is not null")
 
 
+def write_hidden_files(df: DataFrame, folder: str, prefix: str = "hid_l") -> None:
+    """One file a layer, as read_hidden_files reads them: written beside the folder and moved in under their names.
+
+    A layer is one task's file: for caches whose layers fit one. write_hidden has no such bound."""
+    spark = df.sparkSession
+    beside = f"{folder.rstrip('/')}-{uuid.uuid4().hex}"
+    rows = df.select("sample_id", F.col("vec").cast("array<float>").alias("vec"), "layer")
+    rows.repartition("layer").write.option("maxRecordsPerFile", 0).partitionBy("layer").parquet(beside)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path(folder))
+    for layer in fs.globStatus(path(f"{beside}/layer=*")):  # a few
+        (part,) = fs.globStatus(path(f"{layer.getPath().toString()}/part-*"))
+        name = path(f"{folder}/{prefix}{layer.getPath().getName().split('=')[1]}.parquet")
+        fs.delete(name, False)
+        if not fs.rename(part.getPath(), name):
+            raise OSError(f"could not move {part.getPath().toString()} to {name.toString()}")
+    fs.delete(path(beside), True)
+
+
 def write_hidden(df: DataFrame, path: str) -> None:
     """One folder per layer, so that a reader of one layer reads no other."""
     df.repartition("layer").write.mode("append").partitionBy("layer").parquet(path)

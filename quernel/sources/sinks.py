@@ -17,6 +17,12 @@ def write_table(df: DataFrame, path: str, rows_per_file: int = 1_000_000) -> Non
     df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder, wherever it is stored."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def discard(spark: SparkSession, *paths: str) -> list[str]:
     """Delete tables that no longer hold, wherever they are stored; those that were there."""
     gone = []
@@ -52,6 +58,13 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
+def write_text_csv(df: DataFrame, path: str) -> None:
+    """Texts of any kind, as read_pairs_csv reads them: quotes doubled, white space and line ends kept. An empty text reads as null, which CSV
+    doesn't tell from it. Files as tasks make them."""
+    keep = {"header": True, "escape": '"', "quoteAll": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(**keep).csv(path)
+
+
 def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 

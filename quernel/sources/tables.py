@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quernel.sources.sinks import exists
+
 DATASET = "id string, split string, attack_type string, goal string, passage string, query string, injection string, injection_offset struct<start:int,end:int>, label int"
 SIGNALS = "sample_id string, split string, attack_type string, goal string, label int, passage_tokens int, inj_tokens int, query_tokens int, masses_json string"
 PAIR_NAMES = {"passage": ("passage", "text", "context", "doc"), "query": ("query", "question", "title")}
@@ -28,13 +30,17 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def read_pairs_csv(spark: SparkSession, path: str, source: str = "local_csv") -> DataFrame:
-    """passage, query and source_id from a CSV file whose columns may have other usual names."""
+def read_pairs_csv(spark: SparkSession, path: str, source: str | None = "local_csv") -> DataFrame:
+    """passage, query and source_id from a CSV file whose columns may have other usual names.
+
+    source: what source_id says; None: the file's own column of that name says it."""
     raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    if source is None:
+        require_columns(raw, ["source_id"], path)
     found = {k: next((n for n in names if n in raw.columns), None) for k, names in PAIR_NAMES.items()}
     if None in found.values():
         raise ValueError(f"{path} needs columns for passage and query; it has {', '.join(raw.columns)}")
-    return raw.select(*(F.col(n).cast("string").alias(k) for k, n in found.items()), F.lit(source).alias("source_id"))
+    return raw.select(*(F.col(n).cast("string").alias(k) for k, n in found.items()), F.col("source_id") if source is None else F.lit(source).alias("source_id"))
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -65,7 +71,7 @@ def split_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame,
     """(rows, rejects) of a file of JSON lines: rejects has file and line of what is no object of the schema.
 
     Lines in are rows, rejects and blank lines; a missing file is two empty tables."""
-    if "://" not in path and not os.path.exists(path):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema), spark.createDataFrame([], "file string, line string")
     kept = T.StructType([*schema_of(schema).fields, T.StructField("_corrupt_record", T.StringType())])
     lines = spark.read.text(path).where(F.trim(F.regexp_replace("value", r"\s", "")) != "").select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))

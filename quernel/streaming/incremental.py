@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from quernel.operators import spans
 from quernel.session import ship, written
+from quernel.sources.sinks import exists
 
 MASS = "struct<layer:int,head:int,m_qp:double,m_qi:double,m_qq:double>"
 SIGNAL_SCHEMA = f"sample_id string, masses array<{MASS}>, hidden array<struct<layer:int,vec:array<float>>>"
@@ -84,11 +85,6 @@ def read_cache(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, Da
     return tuple(tables_)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
-
-
 def add_batch(encoded: DataFrame, root: str, batch: int, extractor: SignalExtractor = stub_extractor) -> None:
     """Extract the samples that no other batch has, once each, and put them into the cache's tables as this batch.
 
