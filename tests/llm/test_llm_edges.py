@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from quernel.llm import minhash, quality, substring, token_counts
+from quernel.llm import html_extract, minhash, quality, substring, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 CLASHES = ("key", "doc", "h", "kept", "times", "id", "n", "first", "last", "start", "length", "ids_crc32", "_row", "size")
@@ -92,3 +92,21 @@ def test_repeated_labels_and_long_labelled_texts(spark):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (8, 1, 0), (8, 1, 0), (7, 0, 1), (2, None, None), (99, 1, 0)], "doc_id long, quality int, toxic int")
     got = quality.classify(frame(spark, rows), labels).collect()
     assert len(got) == len(rows) and all(0 <= x["score"] <= 1 for x in got)
+
+
+def test_pages_of_a_dealt_host_in_odd_rows(spark):
+    """Copies by the thousand, repeated rows and ids, null ids, urls and pages, clashing columns, hosts with and without groups."""
+    line = "every page of this host ends in these same ten words"
+    page = lambda i: f"<p>own words of page w{i} x{i}</p><footer>{line}</footer><p>{line}</p>"
+    rows = [(str(i), "HTTP://Dealt.example/a?b", page(i)) for i in range(40)]
+    rows += [("7", "http://dealt.example/again", page(7))] * 1500 + [(None, "http://dealt.example", page(8)), ("none", "http://dealt.example", None), ("other", None, page(9)), ("other", "http://small.example", "")]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string")
+    for c in ("host", "digest", "text", "around", "dropped", "n", "salt", "run", "wanted"):
+        df = df.withColumn(c, F.lit(c))
+    got = html_extract.extract_text(df, group=4)
+    assert got.columns == ["page_id", "url", "text", "n_chars"] and dict(got.dtypes)["page_id"] == "string"
+    got = [tuple(r) for r in got.collect()]
+    own = lambda i: f"own words of page w{i} x{i}"
+    want = [(k, u, (own(int(k)) if k is not None and k.isdigit() else own(8) if k is None else f"{own(9)} {line}" if u is None else "")) for k, u, _ in rows]
+    key = lambda r: tuple(map(str, r))
+    assert sorted((r[:3] for r in got), key=key) == sorted(want, key=key) and all(r[3] == len(r[2]) for r in got)
