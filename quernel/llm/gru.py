@@ -19,7 +19,7 @@ import numpy as np
 
 F4 = np.float32
 #: Lanes at most, steps of a window when scoring and when training, tokens of a piece when training.
-LANES, WINDOW, BACK, PIECE = 256, 64, 32, 1024
+LANES, WINDOW, BACK, PIECE = 512, 64, 32, 1024
 
 
 class Shape(NamedTuple):

@@ -6,9 +6,9 @@ make hot, by document, and a join with the counts completes the sums.
 
 The model's tokens are the words said most often in training, the end, and KINDS of other words by their last two bytes,
 so a word outside is its kind by the model, times its share of the kind, (c + 1) / (N + V + 1) of the kind as in the base.
-Training goes over TRAIN[0] of TRAIN[1] parts of the training documents, dealt by hash, whole and once: each round every
-task takes its own documents of one part through truncated backpropagation, from the same parameters, and a reduction
-tree averages what they came to by the tokens they saw. Parameters have one size, whatever the corpus.
+Training goes over all training documents, whole and once, in ROUNDS parts dealt by hash: each round every task takes its
+own documents of one part through truncated backpropagation, from the same parameters, and a reduction tree averages
+what they came to by the tokens they saw. Parameters have one size, whatever the corpus.
 
 Defined cases: null texts are empty; texts without words have their end alone; null ids are trained on (as an empty
 text's crc32); repeated rows are rows each; very long texts carry their state on, over as many windows as they need;
@@ -33,8 +33,8 @@ from quernel.session import ship, written
 HIDDEN, TOKENS, KINDS, CLASSES = 24, 2048, 128, 40
 #: Words whose counts are broadcast at most; words a task counts before it hands on; tokens scored and trained on together.
 DICTIONARY, COUNTED, GROUP, LEARNED = 1 << 18, 1 << 20, 1 << 21, 1 << 19
-#: Parts trained on, one a round, of so many; and the first round's step, which falls from round to round.
-TRAIN, RATE, FALL = (4, 16), 0.1, 0.7
+#: Parts that the training documents are dealt into, one a round; and the first round's step, which falls from round to round.
+ROUNDS, RATE, FALL = 4, 0.1, 0.7
 END = np.int64(0)
 STEPS = 16  # buckets of counts a doubling
 
@@ -181,7 +181,7 @@ def learn(docs: DataFrame, counts: Counts) -> tuple[dict[str, np.ndarray], gru.S
     p = gru.start(counts.mass, shape)
     state = p | {f"seen_{k}": v for k, v in gru.unseen(p).items()}
     given = spark.sparkContext.broadcast(counts)
-    for i in range(TRAIN[0]):
+    for i in range(ROUNDS):
         now, rate = spark.sparkContext.broadcast(state), RATE * FALL**i
 
         def trained(batches: Iterator[pa.RecordBatch], now=now, rate=rate) -> Iterator[pa.RecordBatch]:
@@ -275,7 +275,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     spark = docs.sparkSession
     ship(spark)
     held = held_out(F.col(key))
-    part = F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(TRAIN[1]))
+    part = F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(ROUNDS))
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), held.alias("held_out"), (~held).alias("train"), part.alias("part"))
     counted = count_words(rows)
     counts = dictionary(counted)

@@ -159,3 +159,14 @@ def test_held_out_documents_are_better_than_the_base(spark):
     assert sum(r["score"] for r in out) > 0.99 * sum(r["base_score"] for r in out)
     again = {r["doc_id"]: r["score"] for r in L.score_documents(docs).collect()}
     assert all(abs(again[r["doc_id"]] - r["score"]) < 1e-3 * abs(r["score"]) for r in rows)
+
+
+def test_every_part_of_the_training_documents_is_learned_from(spark):
+    """Documents of one hashed part alone, whichever it is of 16, move the model off the unigram that it begins as."""
+    ids = spark.range(400).select("id", F.lit(" ".join(["one two three"] * 300)).alias("text")).where(~L.held_out(F.col("id")))
+    parts = {r["part"]: r for r in ids.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(16))).collect()}
+    assert len(parts) == 16
+    for part in (3, 4, 9, 15):
+        df = spark.createDataFrame([(parts[part]["id"], parts[part]["text"])] * 8, "doc_id long, text string")
+        r = L.score_documents(df).first()
+        assert r["score"] > 0.9 * r["base_score"], part
