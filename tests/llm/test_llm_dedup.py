@@ -261,3 +261,56 @@ def test_surroundings_keep_both_sides():
     got = substring.contexts(w, np.array([0, 21, 22, 33, 34]), 5)
     low, high = got & np.uint64(0xFFFFFFFF), got >> np.uint64(32)
     assert (low > 0).tolist() == [False, False, True, True, True] and (high > 0).tolist() == [True, True, True, True, False]
+
+
+def agreements(x, y, k):
+    """All (word of x, word of y, words) of k agreeing words or more that go on in neither direction."""
+    out = set()
+    for i in range(len(x)):
+        for j in range(len(y)):
+            if x[i] == y[j] and (not i or not j or x[i - 1] != y[j - 1]):
+                n = 0
+                while i + n < len(x) and j + n < len(y) and x[i + n] == y[j + n]:
+                    n += 1
+                if n >= k:
+                    out.add((i, j, n))
+    return out
+
+
+def test_anchors_are_all_places_that_agree():
+    r = random.Random(23)
+    for words_, n in ((2, 40), (3, 90), (40, 200), (1, 30)):
+        for _ in range(20):
+            x, y = (words._block(np.frombuffer(" ".join(f"v{r.randrange(words_)}" for _ in range(n + r.randrange(9))).encode(), np.uint8))[2] for _ in "xy")
+            want = agreements(x.tolist(), y.tolist(), 5)
+            got = {tuple(a) for a in substring.anchors(x, y, step=10**6, often=0, alone=10**6).tolist() if a[2] >= 5}
+            assert {(i, j, m) for i, j, m in got if (i, j, m) in want} == want
+            assert all((i, j, m) in want or any(a <= i and i - a == j - b and i + m == a + c for a, b, c in want) for i, j, m in got)
+
+
+def test_lines_that_stand_often_are_compared_at_all_places():
+    """Twenty lines of six words, each twenty times in both texts: the passage holds them in an order of its own."""
+    r = random.Random(29)
+    for _ in range(10):
+        lines = [[r.getrandbits(62) for _ in range(6)] for _ in range(20)]
+        fill = lambda: [r.getrandbits(62) for _ in range(40)]
+        here = lambda some: [w for line in some for w in [*line, r.getrandbits(62)]]
+        loose = lambda: [w for line in r.sample(lines * 20, 400) for w in [*line, *fill()]]
+        some = r.sample(lines, 10)
+        a, b = loose(), loose()
+        x = np.array([*a, *fill(), *here(some), *fill()], np.uint64)
+        y = np.array([*b[:4600], *fill(), *here(some), *fill(), *b[4600:]], np.uint64)
+        at = len(a) + 40
+        assert any(i0 <= at and i1 >= at + 69 and j0 <= 4640 and j1 >= 4709 for i0, i1, j0, j1, _ in substring.compare(x, y, 50, 0.75))
+
+
+def test_passages_without_five_agreeing_words_in_a_row():
+    r = random.Random(31)
+    new = lambda n: [r.getrandbits(62) for _ in range(n)]
+    for every in (4, 5):
+        for n in (60, 100, 200):
+            p = new(n)
+            worn = [w if (i + 1) % every else new(1)[0] for i, w in enumerate(p)]
+            x, y = (np.array([*new(70), *some, *new(90)], np.uint64) for some in (p, worn))
+            got = substring.compare(x, y, 50, 0.75)
+            assert len(got) == 1 and got[0][0] == 70 and got[0][1] == 70 + n - (n % every == 0), (every, n, got)
