@@ -4,9 +4,12 @@ A page's html becomes blocks of text. Blocks in an article (else in main) are it
 headers, footers, sidebars, notices, adverts, forms and reader comments. All other blocks of a host's pages are joined
 to one token stream, whose suffixes are sorted by prefix doubling: runs of `run` tokens or more that several distinct
 pages of the host hold are boilerplate. On a page without article or main, blocks are kept less the runs so covered.
-Text that an article shares with other pages stays: copies of an article are content, not boilerplate.
+An article loses what its host's markup calls boilerplate elsewhere: runs of `run` tokens that `half` of the host's
+distinct pages hold outside their articles (or in dropped elements) and at least LEAKS different articles hold as well.
+All other text that an article shares with other pages stays: copies, quotes and frequent lines are content, and what
+one article alone has is where a teaser was taken from.
 
-Copies of a page (equal blocks) are worked on once and count as one page. Hosts of at most `group` distinct pages are
+Copies of a page (equal blocks and article) are worked on once and count as one page. Hosts of at most `group` distinct pages are
 worked on whole, several in a task; a larger host's pages are dealt into groups of about that many by the hash of their
 blocks. Each group's suffix array gives how many of its pages hold each run, and these counts are added up over the host
 (runs are told apart by 64-bit hashes there), so what is boilerplate doesn't depend on how a host is dealt. At most
@@ -33,6 +36,8 @@ from quernel.session import ship, written
 
 #: So many hosts' counts may be broadcast.
 FEW_HOSTS = 20_000
+#: So many different articles have to hold what is cut from them.
+LEAKS = 3
 TEXTS = "host string, digest string, text string"
 # HTML element names by their role, and the names that class, id and role attributes give to what is no main text.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
@@ -151,10 +156,10 @@ class Runs(NamedTuple):
     n_pages: int  # distinct ones
 
 
-def runs_of(pages: list[list[list[str]]], run: int) -> Runs:
-    """All runs of the pages, labelled by the suffix array of their joined tokens. Pages with equal blocks are one."""
-    copies: dict[tuple[tuple[str, ...], ...], int] = {}
-    number = [copies.setdefault(tuple(map(tuple, p)), len(copies)) for p in pages]
+def runs_of(pages: list[list[list[str]]], run: int, own: Iterable[str] | None = None) -> Runs:
+    """All runs of the pages, labelled by the suffix array of their joined tokens. Pages with equal blocks are one, if what is their own is equal too."""
+    copies: dict[tuple[str, tuple[tuple[str, ...], ...]], int] = {}
+    number = [copies.setdefault((o, tuple(map(tuple, p))), len(copies)) for p, o in zip(pages, own if own is not None else [""] * len(pages), strict=True)]
     flat = [b for p in pages for b in p]
     owner = np.repeat(np.array(number, np.int64), [len(p) for p in pages])
     n = np.array([len(b) for b in flat], np.int64)
@@ -210,11 +215,11 @@ def covered(pages: list[list[list[str]]], runs: Runs, hit: np.ndarray) -> list[l
     return out
 
 
-def repeated(pages: list[list[list[str]]], run: int, share: float) -> list[list[np.ndarray]]:
+def repeated(pages: list[list[list[str]]], run: int, share: float, own: Iterable[str] | None = None) -> list[list[np.ndarray]]:
     """For each token of each page's blocks, whether it lies in a run that max(3, share of the pages) distinct pages hold.
 
     Pages with equal blocks are copies and count as one: what only they share is content. A run is `run` tokens of one block, or a whole block that has fewer."""
-    runs = runs_of(pages, run)
+    runs = runs_of(pages, run, own)
     some, count = holders(runs)
     often = runs.label[some][count >= max(3, int(share * runs.n_pages))]
     return covered(pages, runs, np.isin(runs.label, often))
@@ -237,11 +242,11 @@ def kept_text(dropped: Iterable[bool], blocks: list[list[str]], gone: list[np.nd
     return " ".join(t for d, block, g in zip(dropped, blocks, gone, strict=True) if not d for t, c in zip(block, g, strict=True) if not c)
 
 
-def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", *, group: int = 256, run: int = 8, share: float = 0.1) -> DataFrame:
+def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", *, group: int = 256, run: int = 8, share: float = 0.1, half: float = 0.5) -> DataFrame:
     """page_id, url, text and n_chars for each page.
 
-    Pages are parsed once, into a written table. Texts that a container tells come straight from it; only the small
-    rest of the pages of hosts that have others is dealt out by host."""
+    Pages are parsed once, into a written table. What they have outside their articles, a small part, is dealt out by
+    host, for all hosts; articles are read again only on hosts where it shows boilerplate that articles may hold."""
     spark = pages.sparkSession
     ship(spark)
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url).cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
@@ -256,28 +261,26 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", page:
                 yield some[["page_id", "url", "host"]].assign(text=pd.Series([t for t, _ in got], index=some.index, dtype=object), dropped=pd.Series([[d for d, _ in a] for _, a in got], index=some.index, dtype=object), around=pd.Series([[t for _, t in a] for _, a in got], index=some.index, dtype=object))
 
     parsed = written(rows.mapInPandas(parse, schema), "pages")
-    told = parsed.where("text is not null").select("page_id", "url", "text")
-    hosts = written(parsed.groupBy("host").agg(F.bool_or(F.col("text").isNull()).alias("open")).where("open").select("host"), "hosts")
-    n_hosts = hosts.count()
-    done = told.withColumn("n_chars", F.length("text").cast("long"))
-    if not n_hosts:
-        return done
-    if n_hosts <= FEW_HOSTS:
-        hosts = F.broadcast(hosts)
+    told = parsed.where("text is not null").select("page_id", "url", "host", "text")
     # no text has a newline, so that only equal blocks have equal digests
     digest = F.sha2(F.concat_ws("\n", F.col("dropped").cast("array<string>"), "around"), 256)
-    open_ = parsed.join(hosts, "host").withColumn("digest", digest)
-    contents = open_.groupBy("host", "digest").agg(F.first("dropped").alias("dropped"), F.first("around").alias("around"), F.bool_or(F.col("text").isNull()).alias("wanted"))
+    article = F.coalesce(F.sha2("text", 256), F.lit(""))
+    contents = parsed.groupBy("host", digest.alias("digest"), article.alias("own")).agg(F.first("dropped").alias("dropped"), F.first("around").alias("around"))
     contents = written(contents, "contents")
-    sizes = written(contents.groupBy("host").agg(F.count("*").alias("n")), "sizes")
-    total = sizes.agg(F.sum("n")).first()[0]
-    dealt = contents.join(F.broadcast(sizes) if n_hosts <= FEW_HOSTS else sizes, "host")
+    sizes = written(contents.groupBy("host").agg(F.count("*").alias("n"), F.bool_or(F.col("own") == "").alias("open")), "sizes")
+    n_hosts, total, n_open = sizes.agg(F.count("*"), F.sum("n"), F.count_if("open")).first()
+    done = _cleared(told, contents.join(F.broadcast(sizes) if n_hosts <= FEW_HOSTS else sizes, "host"), max(1, (total or 0) // group), group, run, half).withColumn("n_chars", F.length("text").cast("long"))
+    if not n_open:
+        return done
+    sizes = sizes.where("open")
+    contents = contents.withColumn("wanted", F.col("own") == "")
+    dealt = contents.join(F.broadcast(sizes) if n_open <= FEW_HOSTS else sizes, "host")
 
     def of_small(pdf: pd.DataFrame) -> pd.DataFrame:
         texts = pd.Series(None, index=pdf.index, dtype=object)
         for _, h in pdf.groupby("host", sort=False):
             p = tokens(h["around"])
-            texts[h.index] = [kept_text(*x) for x in zip(h["dropped"], p, repeated(p, run, share), strict=True)]
+            texts[h.index] = [kept_text(*x) for x in zip(h["dropped"], p, repeated(p, run, share, h["own"]), strict=True)]
         return pdf[["host", "digest"]].assign(text=texts)[pdf["wanted"]]
 
     small = dealt.where(F.col("n") <= group).groupBy(F.pmod(F.xxhash64("host"), F.lit(max(1, total // group))).alias("bucket")).applyInPandas(of_small, TEXTS)
@@ -288,13 +291,71 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", page:
     return done.union(rest.withColumn("n_chars", F.length("text").cast("long")))
 
 
+def _cleared(told: DataFrame, dealt: DataFrame, cells: int, group: int, run: int, half: float) -> DataFrame:
+    """page_id, url and text of told, less the runs that the host's markup calls boilerplate.
+
+    dealt: the distinct pages' blocks outside articles, with their host's number of pages. Cells hold a large host's group or several small hosts."""
+    salt = F.when(F.col("n") > group, F.pmod(F.xxhash64("around", "own"), F.ceil(F.col("n") / group))).otherwise(-1)
+    cell = F.when(salt < 0, F.pmod(F.xxhash64("host"), F.lit(cells))).otherwise(F.xxhash64("host", salt))
+
+    def marked(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for host, h in pdf.groupby("host", sort=False):
+            # on a page with an article, all that lies outside is marked as no main text; on others, what is dropped
+            blocks = [[b for d, b in zip(ds, bs, strict=True) if d or o] for ds, bs, o in zip(h["dropped"], h["around"], h["own"], strict=True)]
+            runs = runs_of(tokens(blocks), run, h["own"] + h["digest"])
+            some, count = holders(runs)
+            some, count = some[runs.length[some] == run], count[runs.length[some] == run]
+            out.append(pd.DataFrame({"host": host, "run": np.append(runs.key[some].view(np.int64), 0), "pages": np.append(count, runs.n_pages), "all": np.append(np.zeros(len(some), bool), True)}))
+        return pd.concat(out)
+
+    counts = written(dealt.groupBy(cell.alias("cell")).applyInPandas(marked, "host string, run long, pages long, all boolean"), "marked")
+    needed = counts.where("all").groupBy("host").agg(F.greatest(F.lit(3), F.ceil(F.lit(half) * F.sum("pages"))).alias("needed"))
+    sure = counts.where("not all").groupBy("host", "run").agg(F.sum("pages").alias("pages")).join(needed, "host").where("pages >= needed")
+    # at most 1 / half times the runs that a page has outside its article
+    sure = written(sure.groupBy("host").agg(F.collect_list("run").alias("runs")), "sure")
+    plain = told.select("page_id", "url", "text")
+    if sure.isEmpty():
+        return plain
+
+    def runs_in(b: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, list[list[list[str]]], Runs, np.ndarray]]:
+        """Articles of one host at a time, with their runs and which of them are among the host's."""
+        for _, h in b.groupby("host", sort=False):
+            p = tokens([[t] for t in h["text"]])
+            runs = runs_of(p, run)
+            yield h, p, runs, np.isin(runs.key.view(np.int64), h["runs"].iloc[0])
+
+    def leaks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for h, p, runs, hit in runs_in(b):
+                if hit.any():
+                    first = np.cumsum([0, *(len(x[0]) for x in p)])
+                    of = np.searchsorted(first, runs.at[hit], side="right") - 1
+                    yield pd.DataFrame({"host": h["host"].iloc[0], "run": runs.key[hit].view(np.int64), "own": h["own"].to_numpy()[of]}).drop_duplicates()
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for h, p, runs, hit in runs_in(b):
+                gone = covered(p, runs, hit)
+                yield h[["page_id", "url"]].assign(text=[kept_text([False], x, g) for x, g in zip(p, gone, strict=True)])
+
+    some = told.withColumn("own", F.sha2("text", 256)).join(sure, "host").mapInPandas(leaks, "host string, run long, own string")
+    leaked = some.distinct().groupBy("host", "run").agg(F.count("*").alias("n")).where(F.col("n") >= LEAKS)
+    leaked = written(leaked.groupBy("host").agg(F.collect_list("run").alias("runs")), "leaked")
+    if leaked.isEmpty():
+        return plain
+    rest = told.join(leaked, "host", "left")
+    schema = T.StructType([told.schema["page_id"], *T.StructType.fromDDL("url string, text string").fields])
+    return rest.where("runs is null").select("page_id", "url", "text").union(rest.where("runs is not null").mapInPandas(cut, schema))
+
+
 def _of_large(dealt: DataFrame, group: int, run: int, share: float) -> DataFrame:
     """host, digest and text of the wanted pages of hosts that are dealt into groups."""
     groups = F.ceil(F.col("n") / group).cast("int")
-    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("around"), groups).cast("int"))
+    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("around", "own"), groups).cast("int"))
 
     def counted(pdf: pd.DataFrame) -> pd.DataFrame:
-        runs = runs_of(tokens(pdf["around"]), run)
+        runs = runs_of(tokens(pdf["around"]), run, pdf["own"])
         some, count = holders(runs)
         return pd.DataFrame({"host": pdf["host"].iloc[0], "run": np.append(runs.key[some].view(np.int64), 0), "pages": np.append(count, runs.n_pages), "all": np.append(np.zeros(len(some), bool), True)})
 
@@ -306,7 +367,7 @@ def _of_large(dealt: DataFrame, group: int, run: int, share: float) -> DataFrame
 
     def cut(pdf: pd.DataFrame, often: pd.DataFrame) -> pd.DataFrame:
         p = tokens(pdf["around"])
-        runs = runs_of(p, run)
+        runs = runs_of(p, run, pdf["own"])
         gone = covered(p, runs, np.isin(runs.key.view(np.int64), often["run"].to_numpy(np.int64)))
         return pdf[["host", "digest"]].assign(text=[kept_text(*x) for x in zip(pdf["dropped"], p, gone, strict=True)])[pdf["wanted"]]
 

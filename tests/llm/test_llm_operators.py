@@ -411,6 +411,26 @@ def test_boilerplate_is_counted_over_the_whole_host(spark):
         assert {x["page_id"]: x["text"] for x in html_extract.extract_text(df, group=group).collect()} == want
 
 
+def test_articles_lose_what_their_host_marks_as_boilerplate(spark):
+    """Through the host's suffix array: a notice that leaks into articles goes; teasers, shared lines, short lines and copies stay."""
+    notice = "we and our partners store cookies on your device to show adverts"
+    teaser, line = (" ".join(f"{c}{j}" for j in range(11)) for c in "tl")
+    short = "read this next"
+    pages = []
+    for i in range(60):
+        own = " ".join(f"w{i}x{j}" for j in range(9))
+        inside = [own, line, short] + ([notice + " today"] if i % 10 == 0 else []) + ([teaser] if i == 7 else [])
+        around = f"<nav>{short}</nav><div>{teaser}</div>" + (f"<div class=notice>{notice}</div>" if i % 5 else "")
+        pages.append((around, inside))
+    pages += [(pages[7][0], pages[7][1])] * 5 + [(f"<p>{notice} n{i}</p>", [f"few say so {i}", "a quote of ten words in a row and no more"]) for i in range(4)]
+    rows = [(i, "http://n.example/a", f"{a}<article>{''.join(f'<p>{x}</p>' for x in b)}</article>") for i, (a, b) in enumerate(pages)]
+    rows += [(1000 + i, "http://other.example/a", f"<article><p>{notice}</p></article>") for i in range(5)]
+    want = {i: " ".join(x.replace(notice + " ", "") for x in b) for i, (_, b) in enumerate(pages)} | {1000 + i: notice for i in range(5)}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for group in (8, 256):
+        assert {x["page_id"]: x["text"] for x in html_extract.extract_text(df, group=group).collect()} == want
+
+
 def test_repeated_rows_are_spread_over_cells(spark):
     same = spark.range(60_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("equal words").alias("text"))
     got = sharding.shard_documents(same).groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("d"), F.max("slot").alias("m")).collect()
