@@ -242,6 +242,36 @@ def test_passages_that_earlier_documents_quote_in_part(spark):
     assert {(x["doc_id"], x["other_doc_id"]) for x in found} == want
 
 
+def test_passages_whose_seeds_all_stand_in_lesser_earlier_ones(spark):
+    """Every seed of a passage of 60 words stands, in like surroundings, in earlier documents that share 40 of its words."""
+    r = random.Random(17)
+    new = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    rows, want, at = [], set(), 0
+    for _ in range(20):
+        p = new(60)
+        for part in (p[:40], p[20:], p[10:50]):
+            rows.append((at, " ".join(new(30) + part + new(30))))
+            at += 1
+        rows += [(at, " ".join(new(40) + p + new(40))), (at + 1, " ".join(new(25) + p + new(60)))]
+        want.add((at + 1, at))
+        at += 2
+    found = substring.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(x["doc_id"], x["other_doc_id"]) for x in found} == want and all(x["n_words"] == 60 for x in found)
+
+
+def test_linked_equals_brute_force():
+    r = np.random.default_rng(4)
+    h = np.sort(r.integers(0, 40, 900))
+    doc = np.concatenate([np.sort(r.integers(0, 300, n)) for n in np.bincount(h)])
+    about = r.integers(0, 1 << 63, (900, 2)).astype(np.uint64) & r.integers(0, 1 << 63, (900, 2)).astype(np.uint64)
+    want = set()
+    for i in range(900):
+        like = [(-int(substring.alike(about[i : i + 1], about[j : j + 1])[0]), j) for j in range(i) if h[j] == h[i] and doc[j] != doc[i]]
+        like = [x for x in like if x[0] <= 0]
+        want |= {(doc[i], doc[min(j for _, j in like)]), (doc[i], doc[min(like)[1]])} if like else set()
+    assert len(want) > 50 and set(zip(*(x.tolist() for x in substring.linked(h, doc, about)), strict=True)) == want
+
+
 def test_hot_seeds_give_the_same_links(spark, monkeypatch):
     r = random.Random(13)
     line = " ".join(f"l{i}" for i in range(60))
