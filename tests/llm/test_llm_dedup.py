@@ -344,3 +344,82 @@ def test_passages_without_five_agreeing_words_in_a_row():
             x, y = (np.array([*new(70), *some, *new(90)], np.uint64) for some in (p, worn))
             got = substring.compare(x, y, 50, 0.75)
             assert len(got) == 1 and got[0][0] == 70 and got[0][1] == 70 + n - (n % every == 0), (every, n, got)
+
+
+def test_repeats_at_every_shift_are_told_once(spark):
+    """A line that a text repeats is told by few rows, which hold all its words in both texts."""
+    r = random.Random(37)
+    line = passage(r, 3)
+    rows = [(0, " ".join([*passage(r, 40), *line * 30, *passage(r, 40)])), (1, " ".join([*passage(r, 70), *line * 400, *passage(r, 20)]))]
+    found = substring.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert 14 <= len(found) <= 40 and all(x["n_words"] >= 50 for x in found)
+    for k, start, end, first, n in ((1, "start", "end", 70, 1200), (0, "other_start", "other_end", 40, 90)):
+        at = {i for x in found for i in range(x[start], x[end])}
+        words_ = rows[k][1].split()
+        lo = len(" ".join(words_[:first])) + 1
+        line_bytes = set(range(lo, lo + len(" ".join(words_[first : first + n]))))
+        spaces = {i for i in line_bytes if rows[k][1][i] == " "}
+        assert line_bytes - spaces <= at <= line_bytes
+
+
+def test_covering_holds_all_words_of_both():
+    r = random.Random(41)
+    for _ in range(200):
+        rows = [(i, i + r.randint(1, 20), j, j + r.randint(1, 20), 1) for i, j in ((r.randrange(60), r.randrange(60)) for _ in range(r.randint(0, 25)))]
+        got = substring.covering(rows)
+        for s, e in ((0, 1), (2, 3)):
+            assert {k for x in got for k in range(x[s], x[e])} == {k for x in rows for k in range(x[s], x[e])}
+        assert set(got) <= set(rows)
+
+
+def test_what_agrees_as_it_stands_needs_no_broken_anchors(monkeypatch):
+    r = random.Random(43)
+    new = lambda n: [r.getrandbits(62) for _ in range(n)]
+    calls = []
+    broken = substring.broken
+    monkeypatch.setattr(substring, "broken", lambda x, y: calls.append(1) or broken(x, y))
+    p, q = new(300), new(100)
+    worn = [w if (i + 1) % 4 else new(1)[0] for i, w in enumerate(q)]
+    x, y = (np.array([*new(70), *p, *new(90)], np.uint64) for _ in "xy")
+    assert [g[:2] for g in substring.compare(x, y, 50, 0.75)] == [(70, 370)] and not calls
+    # beside it, one without five agreeing words in a row
+    x, y = (np.array([*new(70), *p, *new(90), *some, *new(30)], np.uint64) for some in (q, worn))
+    assert [g[:2] for g in substring.compare(x, y, 50, 0.75)] == [(70, 370), (460, 559)] and calls
+
+
+def test_chains_that_end_where_they_begin_are_passed_over_only(monkeypatch):
+    """compare() gives the same whether or not short chains are passed over."""
+    r = random.Random(47)
+    for _ in range(60):
+        lines = [[r.getrandbits(62) for _ in range(r.randint(3, 12))] for _ in range(12)]
+        x, y = (np.array([w for _ in range(40) for w in (*r.choice(lines), *(r.getrandbits(62) for _ in range(r.choice((0, 1, 2, 9, 40)))))], np.uint64) for _ in "xy")
+        got = substring.compare(x, y, 50, 0.75)
+        with monkeypatch.context() as m:
+            m.setattr(substring, "_goes_on", lambda x, y, x3, y3, first, last, n: np.ones(len(first), bool))
+            assert substring.compare(x, y, 50, 0.75) == got
+
+
+def test_later_pairs_of_a_text_told_whole_are_not_compared(spark, monkeypatch):
+    r = random.Random(53)
+    p, q = passage(r, 80), passage(r, 60)
+    texts = {0: p, 1: [*p, *q], 2: p, 3: [*q, *p], 4: p}
+    raw = {k: " ".join(v).encode() for k, v in texts.items()}
+    codec = pa.Codec("zstd")
+    pairs = [(2, 0), (2, 1), (4, 1), (4, 2), (4, 3)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [a for a, _ in pairs], "other": [b for _, b in pairs], **{f"{n}": [codec.compress(raw[x[i]], asbytes=True) for x in pairs] for i, n in enumerate("ab")}, **{f"{n}_size": [len(raw[x[i]]) for x in pairs] for i, n in enumerate("ab")}})
+    calls, compare = [], substring.compare
+    monkeypatch.setattr(substring, "compare", lambda *a: calls.append(1) or compare(*a))
+    told = set()
+    got = [substring._compared(b, 50, 0.75, told) for b in (batch.slice(0, 3), batch.slice(3))]
+    assert len(calls) == 2 and [(d, o) for g in got for d, o in zip(g["doc_id"], g["other_doc_id"], strict=True)] == [(2, 0), (4, 1)]
+
+
+def test_surroundings_of_many_words_rarely_share_bits_by_chance():
+    """Of 64 bits a side, two sides of 22 words without a common one share 11 in one case of hundreds; of 128, in hardly any."""
+    text = " ".join(f"c{i}" for i in range(60000)).encode()
+    w = words.words_of(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    about = substring.surroundings(w, np.arange(30, 59900, 50), 5)
+    score = np.concatenate([substring.alike(about[k:], about[: len(about) - k]) for k in range(1, 40)])
+    assert (score >= 0).mean() < 0.001 and (substring.alike(about, about) == 200).all()
+    none = np.zeros((0, about.shape[1]), np.uint64)
+    assert len(substring.alike(none, none)) == 0 and len(substring.linked(none[:, 0], none[:, 0].view(np.int64), none)[0]) == 0
