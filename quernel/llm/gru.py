@@ -129,9 +129,9 @@ def _step(gates: np.ndarray, new: np.ndarray, p: dict[str, np.ndarray], state: n
     return out, z, r, c, gc
 
 
-def _exponents(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp of a, each row's sum; a row's greatest is taken off where it could overflow (from a as well)."""
-    if a.max(initial=0) > 60:
+def _exponents(a: np.ndarray, bound: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """exp of a, each row's sum; a row's greatest is taken off where it could overflow (from a as well). No number is above bound."""
+    if bound > 60 and a.max(initial=0) > 60:
         a -= a.max(axis=1, keepdims=True)
     e = np.exp(a)
     return e, e @ np.ones(a.shape[1], a.dtype)
@@ -139,10 +139,12 @@ def _exponents(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def outputs(p: dict[str, np.ndarray], shape: Shape, state: np.ndarray, target: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """(log probability of each target, gradient of their negative sum by the state); grads gets those by the parameters."""
-    cls = (np.searchsorted(shape.first, target, side="right") - 1).astype(np.int16)
+    cls = np.repeat(np.arange(shape.classes, dtype=np.int16), np.diff(shape.first))[target]
+    most = float(np.abs(state).max(initial=0)) * 1.01
     a = state @ p["wc"]
     a += p["bc"]
-    e, total = _exponents(a)
+    e, total = _exponents(a, (np.abs(p["wc"]).sum(axis=0) * most + p["bc"]).max())
+    bounds = np.maximum.reduceat(np.abs(p["wo"]).sum(axis=1) * most + p["bo"], shape.first[:-1])
     at = np.arange(len(target))
     out = (a[at, cls] - np.log(total)).astype(np.float64)
     back = None
@@ -150,7 +152,7 @@ def outputs(p: dict[str, np.ndarray], shape: Shape, state: np.ndarray, target: n
         e /= total[:, None]
         e[at, cls] -= 1
         grads["wc"] = state.T @ e
-        grads["bc"] = e.sum(axis=0)
+        grads["bc"] = np.ones(len(e), e.dtype) @ e
         back = e @ p["wc"].T
         grads["wo"], grads["bo"] = np.zeros_like(p["wo"]), np.zeros_like(p["bo"])
     order = np.argsort(cls, kind="stable")
@@ -163,14 +165,14 @@ def outputs(p: dict[str, np.ndarray], shape: Shape, state: np.ndarray, target: n
         w = p["wo"][lo:hi]
         a = own[s:t] @ w.T
         a += p["bo"][lo:hi]
-        e, total = _exponents(a)
+        e, total = _exponents(a, bounds[c])
         k = (np.arange(t - s), place[s:t])
         out[order[s:t]] += a[k] - np.log(total)
         if grads is not None:
             e /= total[:, None]
             e[k] -= 1
             grads["wo"][lo:hi] = e.T @ own[s:t]
-            grads["bo"][lo:hi] = e.sum(axis=0)
+            grads["bo"][lo:hi] = np.ones(len(e), e.dtype) @ e
             back[order[s:t]] += e @ w
     return out, back
 
@@ -252,7 +254,7 @@ def train(p: dict[str, np.ndarray], seen: dict[str, np.ndarray], shape: Shape, d
             if begins.any():
                 later[begins] = 0
         dn, dg = by * back, gates.reshape(len(token), 2 * h)
-        g |= {"ug": old.T @ dg, "un": old.T @ recurrent, "bg": dg.sum(axis=0), "bn": dn.sum(axis=0)}
+        g |= {"ug": old.T @ dg, "un": old.T @ recurrent, "bg": np.ones(len(dg), dg.dtype) @ dg, "bn": np.ones(len(dn), dn.dtype) @ dn}
         order = np.argsort(token.astype(np.uint16) if shape.tokens < 1 << 16 else token, kind="stable")
         sorted_ = token[order]
         first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))

@@ -37,6 +37,7 @@ DICTIONARY, COUNTED, GROUP, LEARNED = 1 << 18, 1 << 20, 1 << 21, 1 << 19
 ROUNDS, RATE, FALL = 4, 0.1, 0.7
 END = np.int64(0)
 STEPS = 16  # buckets of counts a doubling
+BITS = 18  # of hashes, by which the dictionary is looked up
 
 
 def held_out(key: Column) -> Column:
@@ -91,7 +92,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 class Counts(NamedTuple):
     """What the corpus gives: N, V, the dictionary (hashes in order, count, token), each kind's token and denominator, the
-    tokens' mass and the end's token."""
+    tokens' mass and the end's token, and where in the dictionary the hashes of each beginning start."""
 
     n: int
     v: int
@@ -102,6 +103,7 @@ class Counts(NamedTuple):
     of_kind: np.ndarray
     mass: np.ndarray
     end: int
+    start: np.ndarray
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -139,12 +141,29 @@ def dictionary(counted: DataFrame, most: int | None = None) -> Counts:
     number[order] = np.arange(len(order))
     token = number[len(known) + kind]
     token[known] = number[: len(known)]
-    return Counts(n, v, h, c, token, number[len(known) :], of_kind, mass[order], int(number[len(known) - 1]))
+    return Counts(n, v, h, c, token, number[len(known) :], of_kind, mass[order], int(number[len(known) - 1]), starts(h))
+
+
+def _beginning(hashes: np.ndarray) -> np.ndarray:
+    """The first BITS bits of each hash, in the order of signed hashes."""
+    return (hashes >> (64 - BITS)) + (1 << (BITS - 1))
+
+
+def starts(hashes: np.ndarray) -> np.ndarray:
+    """Of hashes in order, the place of the first that has each beginning or a greater one."""
+    n = np.bincount(_beginning(hashes), minlength=1 << BITS)
+    return (np.cumsum(n) - n).astype(np.int32)
 
 
 def _found(counts: Counts, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place in the dictionary, whether it is there) of each hash."""
-    at = np.minimum(np.searchsorted(counts.hash, hashes), len(counts.hash) - 1)
+    last = len(counts.hash) - 1
+    at = np.minimum(counts.start[_beginning(hashes)].astype(np.int64), last)
+    open_ = np.flatnonzero(counts.hash[at] < hashes)
+    while len(open_):  # few hashes have one beginning
+        open_ = open_[at[open_] < last]
+        at[open_] += 1
+        open_ = open_[counts.hash[at[open_]] < hashes[open_]]
     return at, counts.hash[at] == hashes
 
 

@@ -170,3 +170,30 @@ def test_every_part_of_the_training_documents_is_learned_from(spark):
         df = spark.createDataFrame([(parts[part]["id"], parts[part]["text"])] * 8, "doc_id long, text string")
         r = L.score_documents(df).first()
         assert r["score"] > 0.9 * r["base_score"], part
+
+
+def test_words_are_found_as_by_bisection_but_faster():
+    r = np.random.default_rng(8)
+    for n in (1, 2, 50, 1 << 18):
+        h = np.unique(np.append(r.integers(-(1 << 63), (1 << 63) - 1, n), L.END))
+        h = np.unique(np.concatenate([h, h[: n // 3] + 1, [-(1 << 63), (1 << 63) - 1]]))
+        counts = L.Counts(0, 0, h, h, h, h, h, h, 0, L.starts(h))
+        some = np.concatenate([r.choice(h, 5000), r.integers(-(1 << 63), (1 << 63) - 1, 5000), h[-3:], [-(1 << 63), (1 << 63) - 1, 0]])
+        at, there = L._found(counts, some)
+        want = np.minimum(np.searchsorted(h, some), len(h) - 1)
+        assert (at == want).all() and (there == (h[want] == some)).all() and there.sum() >= 5000
+    none, no = L._found(L.Counts(0, 0, h[:0], h[:0], h[:0], h, h, h, 0, L.starts(h[:0])), h[:0])
+    assert len(none) == len(no) == 0
+
+
+def test_rows_are_only_searched_for_their_greatest_where_it_may_overflow(monkeypatch):
+    seen = []
+    exponents = gru._exponents
+    monkeypatch.setattr(gru, "_exponents", lambda a, bound: seen.append((float(a.max()), bound)) or exponents(a, bound))
+    for noise in (0.5, 40.0):
+        p, shape, _ = model(noise=noise)
+        state = np.random.default_rng(3).uniform(-1, 1, (40, shape.hidden))
+        got, _ = gru.outputs(p, shape, state, np.arange(40) % 17)
+        assert np.isfinite(got).all() and (got < 1e-9).all()
+        assert all(most <= bound for most, bound in seen) and (max(b for _, b in seen) > 60) == (noise > 1)
+        seen.clear()
