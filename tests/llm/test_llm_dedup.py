@@ -423,3 +423,31 @@ def test_surroundings_of_many_words_rarely_share_bits_by_chance():
     assert (score >= 0).mean() < 0.001 and (substring.alike(about, about) == 200).all()
     none = np.zeros((0, about.shape[1]), np.uint64)
     assert len(substring.alike(none, none)) == 0 and len(substring.linked(none[:, 0], none[:, 0].view(np.int64), none)[0]) == 0
+
+
+@pytest.mark.parametrize("known", [0, substring.KNOWN])
+def test_copies_link_once_by_their_texts(spark, monkeypatch, known):
+    """Not by each of their seeds: a copy's link came as often as it has seeds in other tasks, which grew faster than the table."""
+    r = random.Random(61)
+    p, q = passage(r, 80), passage(r, 70)
+    text = " ".join([*p, *passage(r, 30), *q])
+    rows = [(1, " ".join([*passage(r, 40), *p])), (2, " ".join([*q, *passage(r, 40)])), *((i, text) for i in range(5, 30))]
+    rows += [(40, text), (40, " ".join(passage(r, 20))), *((i, "few words") for i in range(50, 60)), *((i, text + " ") for i in (60, 61))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seeded, linked = [], substring._linked
+    monkeypatch.setattr(substring, "_linked", lambda src, seed: linked(seeded.append(src) or src, seed))
+    monkeypatch.setattr(substring, "KNOWN", known)
+    got = [x for x in spans_of(substring.shared_passages(df).collect()) if x[0] != 40]
+    assert {x["doc_id"] for x in seeded[0].collect()} == {1, 2, 5, 40, *range(50, 60), 60}
+    parts = [(1, 80), (2, 70)]
+    assert got == sorted([(i, o, n) for i in (*range(5, 30), 60, 61) for o, n in (*parts, *([(5, 180)] if i > 5 else []))])
+
+
+def test_anchors_that_all_rise_chain_as_others_do():
+    r = random.Random(67)
+    for _ in range(200):
+        n = r.randint(1, 40)
+        a, b = (np.cumsum([r.choice((1, 3, 16, 90, 400)) for _ in range(n)]) for _ in range(2))
+        # one anchor more, out of order and far away, so that it's in no other's chain
+        want = substring.chains(np.r_[a, a[-1] + 10**6], np.r_[b, 0], 5)
+        assert substring.chains(a, b, 5) == [x for x in want if x != [n]]
