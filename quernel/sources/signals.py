@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.sources import tables
@@ -23,10 +23,23 @@ def masses(signals: DataFrame) -> DataFrame:
     return rows.select("sample_id", at[0].cast("int").alias("layer"), at[1].cast("int").alias("head"), *(F.col("v")[i].alias(c) for i, c in enumerate(("m_qp", "m_qi", "m_qq"))))
 
 
-def to_json(masses: DataFrame) -> DataFrame:
-    """The stored form of long masses: one JSON object per sample."""
-    row = F.struct(F.concat_ws("|", "layer", "head").alias("k"), F.array("m_qp", "m_qi", "m_qq").alias("v"))
-    return masses.groupBy("sample_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(row)))).alias("masses_json"))
+def to_json(masses: DataFrame, value: Column | None = None) -> DataFrame:
+    """The stored form of long masses: one JSON object per sample. Where rows share a sample_id, a head's first masses go to
+    its first object, its second to the second and so on: no object holds a head twice."""
+    row = F.struct(F.concat_ws("|", "layer", "head").alias("k"), (F.array("m_qp", "m_qi", "m_qq") if value is None else value).alias("v"))
+    x = masses.groupBy("sample_id").agg(F.array_sort(F.collect_list(row)).alias("x")).withColumn("k", F.transform("x", lambda e: e["k"]))
+    number = lambda e, j: j - F.array_position("k", e["k"]) + 1  # noqa: E731  of a head's masses, from 0
+    most = F.array_max(F.transform("x", number))
+    each = F.transform(F.sequence(F.lit(0).cast("long"), most), lambda i: F.to_json(F.map_from_entries(F.filter("x", lambda e, j: number(e, j) == i))))
+    once = F.size(F.array_distinct("k")) == F.size("k")
+    return x.select("sample_id", F.explode(F.when(once, F.array(F.to_json(F.map_from_entries("x")))).otherwise(each)).alias("masses_json"))
+
+
+def long(signals: DataFrame) -> DataFrame:
+    """Each cached row's widths and masses, long: taken from the row itself, as rows may share a sample_id."""
+    at = F.split("k", "[|]")
+    rows = signals.select("sample_id", *(F.greatest(F.lit(1), F.col(c).cast("int")).alias(w) for c, w in zip(WIDTHS, ("w_p", "w_i", "w_q"), strict=True)), F.explode(F.from_json("masses_json", "map<string,array<double>>")).alias("k", "v"))
+    return rows.select("sample_id", "w_p", "w_i", "w_q", at[0].cast("int").alias("layer"), at[1].cast("int").alias("head"), *(F.col("v")[i].alias(c) for i, c in enumerate(("m_qp", "m_qi", "m_qq"))))
 
 
 def widths(signals: DataFrame) -> DataFrame:
