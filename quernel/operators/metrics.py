@@ -92,6 +92,21 @@ def pearson(a: Column, b: Column) -> Column:
     return F.when(flat, F.lit(0.0)).otherwise(F.covar_pop(a, b) / F.when(flat, F.lit(1.0)).otherwise(spread))
 
 
+def pearson_of_blocks(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Correlation of each group from blocks: a row stands for n pairs, all those of one list of numbers with another, whose
+    means are x and y, variances xx and yy. Within a block nothing is correlated. 0 where either number doesn't vary."""
+    df = written(df.select(*keys, "n", "x", "xx", "y", "yy"), "blocks")  # read twice: means, then what lies around them
+    n = F.col("n").cast("double")
+    mean = lambda c: F.sum(n * F.col(c)) / F.sum(n)
+    # a row a group
+    out = df.join(F.broadcast(df.groupBy(*keys).agg(mean("x").alias("_x"), mean("y").alias("_y"))), keys)
+    dx, dy = F.col("x") - F.col("_x"), F.col("y") - F.col("_y")
+    out = out.groupBy(*keys).agg(*((F.sum(n * c) / F.sum(n)).alias(a) for a, c in (("_a", F.col("xx") + dx * dx), ("_b", F.col("yy") + dy * dy), ("_c", dx * dy))))
+    a, b = F.sqrt("_a"), F.sqrt("_b")
+    flat = F.least(a, b) < 1e-12
+    return out.select(*keys, F.when(flat, F.lit(0.0)).otherwise(F.col("_c") / F.when(flat, F.lit(1.0)).otherwise(a * b)).alias(name))
+
+
 def _share(x: Column, lo: Column, hi: Column) -> Column:
     """Where x lies between lo and hi, 0 to 1: by logarithm if both have one sign and magnitudes far apart, else evenly."""
     even = F.try_divide(x / 2 - lo / 2, hi / 2 - lo / 2)  # halved, so that no difference is infinite

@@ -10,7 +10,9 @@ import pytest
 import __spark_entry__
 
 SF = "/root/testdata/sf0.001"
-KINDS_DIFFER = ["masses_json_roundtrip", "signal_cache_roundtrip", "attention_mass_reduce", "half_vectors"]
+KINDS_DIFFER = ["masses_json_roundtrip", "signal_cache_roundtrip", "attention_mass_reduce", "half_vectors", "meta_per_spec", "meta_margin", "meta_fired", "meta_global_max", "pearson_matrix"]
+#: SQL gives an id any of its samples' kinds: told only where they are of one kind.
+ONE_KIND = ["eval_overall", "eval_per_type", "mean_asr", "attribution_accuracy", "attribution_confusion", "confusion_dense", "criteria", "records_csv_roundtrip", "tableE_unseen"]
 
 
 def plain(v):
@@ -60,3 +62,8 @@ def equals_sql(spark, name, d):
 @pytest.mark.parametrize("name", KINDS_DIFFER)
 def test_samples_of_several_kinds(spark, mixed, name):
     equals_sql(spark, name, mixed)
+
+
+@pytest.mark.parametrize("name", ONE_KIND)
+def test_samples_of_one_kind(spark, alike, name):
+    equals_sql(spark, name, alike)
